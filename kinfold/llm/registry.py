@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feistel, licenses, mixing, quality
+from . import byte_pieces, feistel, licenses, mixing, quality, simhash, token_cache
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,19 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = simhash.groups(table(spark, sf_dir, "documents"))
+    return x.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_cache.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -37,6 +50,9 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_feistel_shards": op2_feistel_shards,
+    "op3_simhash_groups": op3_simhash_groups,
+    "op4_token_counts": op4_token_counts,
+    "op5_byte_pieces": op5_byte_pieces,
     "op8_license_diagonals": op8_license_diagonals,
     "op9_weighted_mix": op9_weighted_mix,
     "op10_quality_ledger": op10_quality_ledger,
