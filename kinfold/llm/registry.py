@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pieces, feistel, licenses, mixing, quality, simhash, token_cache
-from .common import table
+from . import byte_pieces, ecoc, feistel, licenses, mixing, quality, simhash, token_cache, warc
+from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,18 @@ def op5_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), out)
+    return warc.read_archives(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
+
+
+def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    x = ecoc.predict(docs, ecoc.fit(docs))
+    return x.select("doc_id", ecoc.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -53,6 +65,8 @@ QUERIES: dict[str, Query] = {
     "op3_simhash_groups": op3_simhash_groups,
     "op4_token_counts": op4_token_counts,
     "op5_byte_pieces": op5_byte_pieces,
+    "op6_warc_archives": op6_warc_archives,
+    "op7_language_codes": op7_language_codes,
     "op8_license_diagonals": op8_license_diagonals,
     "op9_weighted_mix": op9_weighted_mix,
     "op10_quality_ledger": op10_quality_ledger,
