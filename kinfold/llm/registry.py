@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pieces, ecoc, feistel, licenses, mixing, quality, simhash, token_cache, warc
+from . import byte_pieces, ecoc, feistel, licenses, mixing, quality, rp_forest, simhash, token_cache, warc
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -61,6 +65,7 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_projection_forest": op1_projection_forest,
     "op2_feistel_shards": op2_feistel_shards,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_token_counts": op4_token_counts,
