@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,9 +211,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
     return out.withColumnRenamed("id", id_col)
 
 
-def _verdicts(shared) -> Callable[[Iterator], Iterator]:
-    import pandas as pd
-
+def _verdicts(shared) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = Model(**shared.value)
         for s in batches:

@@ -126,9 +126,15 @@ def rejected_by(fail_bits: Column, policy: str = DEFAULT_POLICY) -> Column:
 
 
 def apply(docs: DataFrame, policy: str = DEFAULT_POLICY, text: str = "text") -> DataFrame:
-    """The documents that ``policy`` keeps, with all their columns."""
-    (m,) = fresh(docs, "m")
-    return _measured(docs, text, m).where(~rejected_by(_fails(m), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that ``policy`` keeps, with all their columns.
+
+    The verdict drops rows as an empty array does in ``explode``: a filter would be pushed below the steps of
+    ``_measured``, and its copies of them evaluated anew for every word.
+    """
+    m, one = fresh(docs, "m", "one")
+    kept = F.when(~rejected_by(_fails(m), policy), F.array(F.lit(True)))
+    d = _measured(docs, text, m)
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(kept).alias(one)).drop(one)
 
 
 def ablation(entries: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
