@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_pieces, ecoc, feistel, licenses, mixing, quality, rp_forest, simhash, token_cache, warc
 from .common import scratch_path, table
+from .sql import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +38,7 @@ def op5_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), out)
-    return warc.read_archives(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
+    return warc.read_archives(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +76,4 @@ QUERIES: dict[str, Query] = {
     "op8_license_diagonals": op8_license_diagonals,
     "op9_weighted_mix": op9_weighted_mix,
     "op10_quality_ledger": op10_quality_ledger,
-}
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
