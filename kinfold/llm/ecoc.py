@@ -36,6 +36,8 @@ BUCKETS = 1 << 16
 BLOCK = 1 << 20
 SMOOTHING = 0.5
 AMBIGUOUS = 0.1
+#: Margin of the best language below which ``keep_known`` rejects; ambiguous documents above it are flagged, not dropped.
+TIE = 0.01
 UNKNOWN = "und"
 _ALL_SPLITS = 6
 
@@ -91,19 +93,20 @@ class Model:
             n += len(idx)
         return total / max(n, 1)
 
-    def decide(self, means: np.ndarray) -> tuple[str, float, bool]:
+    def decide(self, means: np.ndarray) -> tuple[str, float, float]:
+        """The nearest language, its share, and by how much it leads."""
         margin = self.slope * means + self.offset
         loss = (self.trust * np.logaddexp(0, -self.code * margin)).sum(1) / self.trust.sum()
         p = np.exp(-(loss - loss.min()) * self.code.shape[1])
         p /= p.sum()
         order = np.argsort(-p, kind="stable")
-        return self.languages[order[0]], float(p[order[0]]), bool(p[order[0]] - p[order[1]] < AMBIGUOUS)
+        return self.languages[order[0]], float(p[order[0]]), float(p[order[0]] - p[order[1]])
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
         if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0, True
+            return UNKNOWN, 0.0, 0.0
         if len(self.languages) == 1:
-            return self.languages[0], 1.0, False
+            return self.languages[0], 1.0, 1.0
         return self.decide(self.means(text))
 
 
@@ -159,7 +162,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     d = learnable(docs, id_col, text, lang)
     sizes = d.groupBy("lang").count().select(F.col("lang").alias("_lang"), (F.lit(float(sample)) / F.col("count")).alias("share"))
     u = F.pmod(F.xxhash64("id", F.lit("ecoc")), F.lit(1 << 30)) / float(1 << 30)
-    # One row per language: broadcast or not as its size says.
     chosen = d.join(sizes, F.col("lang") == F.col("_lang")).where(u < F.col("share")).select("t", "lang")
     counts = chosen.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
@@ -194,7 +196,7 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value)
         for b in batches:
-            got = [model.predict(t.as_py()) for t in b.column("t")]
+            got = [(lang, score, lead < AMBIGUOUS) for lang, score, lead in (model.predict(t.as_py()) for t in b.column("t"))]
             columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             rest = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, *columns], [*b.schema.names[:-1], "lang_pred", "score", "ambiguous"])
@@ -216,13 +218,13 @@ def _verdicts(shared) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
         model = Model(**shared.value)
         for s in batches:
             got = [model.predict(t) for t in s]
-            yield pd.Series([lang != UNKNOWN and not unsure for lang, _, unsure in got], dtype=bool)
+            yield pd.Series([lang != UNKNOWN and lead >= TIE for lang, _, lead in got], dtype=bool)
 
     return run
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents whose language is told without ambiguity, with all their columns."""
+    """The documents that have a language, and not two that tie for it, with all their columns."""
     (ok,) = fresh(docs, "known")
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     udf = F.pandas_udf(_verdicts(shared), "boolean")  # type: ignore[call-overload]

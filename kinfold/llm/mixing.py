@@ -67,7 +67,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     )
     p = _with_rates(d, _sizes(docs, text, source), max_repeat)
     copies = F.floor("rate").cast("long") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("long")
-    return p.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return p.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def _sizes(docs: DataFrame, text: str, source: str) -> DataFrame:

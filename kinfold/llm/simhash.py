@@ -83,8 +83,9 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> Dat
     reach = radius // segments
     keys, probes = [], []
     for i, (shift, width) in enumerate(_segments(64, segments)):
-        value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-        masks = F.array(*[F.lit(m).cast("long") for m in _ball(width, reach)])
+        value = F.shiftrightunsigned("fp", shift)
+        value = value.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else value
+        masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in _ball(width, reach)])
         keys.append(F.struct(F.lit(i).alias("seg"), value.alias("key")))
         probes.append(F.transform(masks, _probe(i, value)))
     indexed = fps.select(F.col("fp").alias("b"), F.explode(F.array(*keys)).alias("k")).select("b", "k.seg", "k.key")
