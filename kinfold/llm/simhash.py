@@ -111,10 +111,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """One document of each group, that with the smallest id, with all its columns."""
-    th, kid, kth = fresh(docs, "th", "id", "kth")
+    key, kkey = fresh(docs, "key", "kept")
+    named = lambda i, th: F.concat_ws(":", th.cast("string"), i.cast("string"))
     g = groups(docs, id_col, text, radius, segments)
     keep = g.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("id", "th")).alias("k"))
-    keep = keep.select(F.col("k.id").alias(kid), F.col("k.th").alias(kth))
-    d = docs.withColumn(th, F.xxhash64(text_of(f"`{text}`")))
-    kept = d.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col(kid)) & (F.col(th) == F.col(kth)), "left_semi")
-    return kept.dropDuplicates([id_col, th]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = keep.select(named(F.col("k.id"), F.col("k.th")).alias(kkey))
+    # One key for the join and for rows that repeat, so the texts are moved and sorted once.
+    d = docs.withColumn(key, named(F.col(f"`{id_col}`"), F.xxhash64(text_of(f"`{text}`"))))
+    kept = d.join(keep, F.col(key) == F.col(kkey), "left_semi")
+    return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
