@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, n_words_of, text_of
+from .common import cut, fresh, n_words_of, text_of
 
 SEED = "mix-1"
 MAX_REPEAT = 3
@@ -76,9 +76,9 @@ def _sizes(docs: DataFrame, text: str, source: str) -> DataFrame:
 
 
 def _with_rates(d: DataFrame, sizes: DataFrame, max_repeat: int) -> DataFrame:
-    """Joined by Spark's own choice: the table of sources is broadcast only below the session's size threshold."""
+    """The table of sources is written first, so the planner knows its size and broadcasts it only below the session's threshold."""
     t = targets(sizes, max_repeat).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    t = t.withColumnRenamed("source", "_kf_source")
+    t, _ = cut(t.withColumnRenamed("source", "_kf_source"), "sources")
     return d.join(t, d["source"].eqNullSafe(t["_kf_source"])).drop("_kf_source")
 
 
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """The mixed documents themselves: all columns of the input, each row as often as its rate and draw say."""
     key, rate, src, n = fresh(docs, "source", "rate", "src", "n")
     t = targets(_sizes(docs, text, source), max_repeat)
-    t = t.select(F.col("source").alias(key), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    t, _ = cut(t.select(F.col("source").alias(key), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate)), "sources")
     d = docs.join(t, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(key)))
     u = _draw(F.col(f"`{id_col}`"), text_of(f"`{text}`"), seed)
     copies = F.floor(rate).cast("int") + (u < F.col(rate) - F.floor(rate)).cast("int")
