@@ -159,7 +159,8 @@ def write_archives(
     # Rows with a null id refer to the others, so a payload with one named row and unnamed ones counts as copied too.
     unnamed = narrow.where((F.col("n") >= least) & F.col("id").isNull()).select("digest", "n").distinct()
     alone = narrow.where((F.col("n") >= least) & F.col("id").isNotNull()).join(unnamed, ["digest", "n"], "left_semi").groupBy("digest", "n").agg(F.max("id").alias("last"))
-    copies = copies.unionByName(alone).distinct()
+    # Written, so that the planner knows its size: payloads only move by digest where it is too large to broadcast.
+    copies, copied = cut(copies.unionByName(alone).distinct(), "copies")
     total = narrow.agg(F.sum("n") + F.count("n") * 512).first()[0] or 0
     shards = max(1, min(MAX_SHARDS, -(-total // shard_bytes)))
     sample = sorted(r[0] for r in narrow.where(F.col("id").isNotNull()).select("id").orderBy(F.xxhash64("id"), "id").limit(SPLIT_SAMPLE).collect()) if shards > 1 else []
@@ -173,7 +174,7 @@ def write_archives(
     # A row per file, of up to roll_bytes each.
     files = [r.asDict() for r in written.orderBy("shard", "part").collect()]
     _commit(spark, out, files)
-    remove(spark, at, listing)
+    remove(spark, at, listing, copied)
     return {"files": files}
 
 
