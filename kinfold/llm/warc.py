@@ -37,8 +37,8 @@ LEAST = 1000
 ROLL_BYTES = 1 << 28
 SHARD_BYTES = 1 << 24
 MAX_SHARDS = 4096
-#: Ids that the split points are taken from.
-SPLIT_SAMPLE = 65_536
+#: Ids for each shard that the split points are taken from, so 262,144 at most.
+SPLIT_SAMPLE = 64
 LEVEL = 6
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -163,7 +163,7 @@ def write_archives(
     copies, copied = cut(copies.unionByName(alone).distinct(), "copies")
     total = narrow.agg(F.sum("n") + F.count("n") * 512).first()[0] or 0
     shards = max(1, min(MAX_SHARDS, -(-total // shard_bytes)))
-    sample = sorted(r[0] for r in narrow.where(F.col("id").isNotNull()).select("id").orderBy(F.xxhash64("id"), "id").limit(SPLIT_SAMPLE).collect()) if shards > 1 else []
+    sample = sorted(r[0] for r in narrow.where(F.col("id").isNotNull()).select("id").orderBy(F.xxhash64("id"), "id").limit(SPLIT_SAMPLE * shards).collect()) if shards > 1 else []
     splits = sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
     d = d.join(copies, ["digest", "n"], "left")
     refers = F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
