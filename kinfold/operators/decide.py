@@ -96,14 +96,11 @@ def grid(pairs: DataFrame, score: str, universe: DataFrame, truth: DataFrame) ->
     )
     t = truth.groupBy("s1").agg(F.count(F.lit(1)).alias("t"))
     e = universe.select("s1").join(per, "s1", "left").join(t, "s1", "left").fillna(0, ["t"])
-    rows = [
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"),
-            f05(F.col("t"), F.when(F.col("m") >= ts, F.col("c")[n]["tp"]).otherwise(0), F.when(F.col("m") >= ts, F.col("c")[n]["n"]).otherwise(0)).alias("f"),
-        )
-        for i, ts in enumerate(T_SINGLE) for n, (j, k) in enumerate(cells) if T_ABS[j] <= ts
-    ]
-    g = e.select(F.explode(F.array(*rows)).alias("x")).select("x.*").groupBy("i", "j", "k").agg(F.avg("f").alias("f05"))
+    # The cells are one literal; each record meets them by index.
+    rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit(ts).alias("ts"), F.lit(n).alias("at")) for i, ts in enumerate(T_SINGLE) for n, (j, k) in enumerate(cells) if T_ABS[j] <= ts]
+    e = e.select("t", "m", "c", F.explode(F.array(*rows)).alias("x")).select("t", "x.i", "x.j", "x.k", F.when(F.col("m") >= F.col("x.ts"), F.get("c", F.col("x.at"))).alias("s"))
+    f = f05(F.col("t"), F.coalesce("s.tp", F.lit(0)), F.coalesce("s.n", F.lit(0)))
+    g = e.groupBy("i", "j", "k").agg(F.avg(f).alias("f05"))
     o = g.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("k").alias("k2"), F.col("f05").alias("f2"))
     near = (F.abs(F.col("i") - F.col("i2")) <= 1) & (F.abs(F.col("j") - F.col("j2")) <= 1) & (F.abs(F.col("k") - F.col("k2")) <= 1)
     # The grid has 288 cells at most, whatever the data: a nested loop over it is as good as any join.
