@@ -1,8 +1,13 @@
 """Mixing sources to target weights.
 
 Tokens are summed per source, targets follow from the weights, and the rate of a source is its target
-over its size.  Each document is emitted floor(rate) times, and once more if a number in [0, 1) drawn from a
-hash of the seed, its id and its text is below the fraction of the rate.  Nothing depends on partitions or task order.
+over its size.  Each document is emitted floor(rate) times, and once more by a Bernoulli draw: a number in [0, 1) made from a
+hash of the seed, its id and its text.  Nothing depends on partitions or task order.
+
+A document with over 1/16 of its source's words is drawn if its number is below the fraction of the rate.  For the others
+the bound is calibrated: of ``BINS`` bounds, that at which the words drawn come nearest to what the source still
+lacks.  It differs from the fraction by the sampling error of the plain draw, which a source of few documents or many copies
+would otherwise keep.  The bounds come from sums over (source, bin), at most ``BINS`` rows a source.
 
 Targets: every source gets its weight's share of the total; one that would exceed ``max_repeat`` times its own
 size is held there, and the excess is shared again by weight among the others until none is above.  That is the
@@ -25,6 +30,9 @@ from .common import cut, fresh, n_words_of, text_of
 SEED = "mix-1"
 MAX_REPEAT = 3
 WEIGHTS = (1, 2, 3)
+#: Bounds that the draw of a source may have, and the share of its words above which a document isn't calibrated.
+BINS = 4096
+LARGE = 16
 
 
 def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -59,35 +67,71 @@ def _draw(id_col: Column, text: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(word.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """Id, size, source_size, target, copies and taken for each document."""
+def _narrow(docs: DataFrame, id_col: str, text: str, source: str, seed: str) -> tuple[DataFrame, str]:
+    """Id, source, size and draw of each document, written: the texts are read once for all that follows."""
     t = text_of(f"`{text}`")
-    d = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), n_words_of(t).alias("size"), _draw(F.col(f"`{id_col}`"), t, seed).alias("u")
+    return cut(
+        docs.select(
+            F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), n_words_of(t).alias("size"), _draw(F.col(f"`{id_col}`"), t, seed).alias("u")
+        ),
+        "draws",
     )
-    p = _with_rates(d, _sizes(docs, text, source), max_repeat)
-    copies = F.floor("rate").cast("long") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("long")
-    return p.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
-def _sizes(docs: DataFrame, text: str, source: str) -> DataFrame:
-    d = docs.select(F.col(f"`{source}`").cast("string").alias("source"), n_words_of(text_of(f"`{text}`")).alias("size"))
-    return d.groupBy("source").agg(F.sum("size").alias("source_size"))
+def _large(size: Column, source_size: Column) -> Column:
+    return size * LARGE > source_size
+
+
+def rates(narrow: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """One row per source: _kf_source, source_size, target, whole (copies of every document), part (the fraction) and bound (of the draw).
+
+    Written, so the planner knows its size and broadcasts it only below the session's threshold.
+    """
+    t = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    t = t.select(F.col("source").alias("_kf_source"), "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("part"))
+    t, _ = cut(t, "sources")
+    d = narrow.join(t, narrow["source"].eqNullSafe(t["_kf_source"]))
+    large = _large(F.col("size"), F.col("source_size"))
+    bins = d.groupBy("_kf_source", F.floor(F.col("u") * BINS).alias("bin")).agg(
+        F.sum(F.when(large, 0).otherwise(F.col("size"))).alias("words"),
+        F.sum(F.when(large & (F.col("u") < F.col("part")), F.col("size")).otherwise(0)).alias("drawn"),
+        F.first("part").alias("part"),
+        F.first("source_size").alias("source_size"),
+    )
+    own = Window.partitionBy("_kf_source")
+    lacks = F.col("part") * F.col("source_size") - F.sum("drawn").over(own)
+    so_far = F.sum("words").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    bins = bins.select("_kf_source", lacks.alias("lacks"), F.abs(lacks - so_far).alias("off"), ((F.col("bin") + 1) / F.lit(float(BINS))).alias("bound"))
+    best = bins.groupBy("_kf_source").agg(F.min(F.struct("off", "bound")).alias("b"), F.first("lacks").alias("lacks"))
+    # No words at all is a choice too.
+    best = best.select(F.col("_kf_source").alias("_kf_s"), F.when(F.abs("lacks") <= F.col("b.off"), 0.0).otherwise(F.col("b.bound")).alias("bound"))
+    out = t.join(best, t["_kf_source"].eqNullSafe(best["_kf_s"])).drop("_kf_s")
+    out, _ = cut(out, "rates")
+    return out
+
+
+def _copies(size: Column, source_size: Column, u: Column, whole: Column, part: Column, bound: Column) -> Column:
+    return whole + (u < F.when(_large(size, source_size), part).otherwise(bound)).cast("long")
 
 
-def _with_rates(d: DataFrame, sizes: DataFrame, max_repeat: int) -> DataFrame:
-    """The table of sources is written first, so the planner knows its size and broadcasts it only below the session's threshold."""
-    t = targets(sizes, max_repeat).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    t, _ = cut(t.withColumnRenamed("source", "_kf_source"), "sources")
-    return d.join(t, d["source"].eqNullSafe(t["_kf_source"])).drop("_kf_source")
+def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """Id, size, source_size, target, copies and taken for each document."""
+    d, _ = _narrow(docs, id_col, text, source, seed)
+    t = rates(d, max_repeat)
+    p = d.join(t, d["source"].eqNullSafe(t["_kf_source"]))
+    copies = _copies(*[F.col(c) for c in ("size", "source_size", "u", "whole", "part", "bound")])
+    return p.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mixed documents themselves: all columns of the input, each row as often as its rate and draw say."""
-    key, rate, src, n = fresh(docs, "source", "rate", "src", "n")
-    t = targets(_sizes(docs, text, source), max_repeat)
-    t, _ = cut(t.select(F.col("source").alias(key), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate)), "sources")
+    names = ("_kf_source", "source_size", "whole", "part", "bound")
+    key, total, whole, part, bound = fresh(docs, *names)
+    narrow, _ = _narrow(docs, id_col, text, source, seed)
+    t = rates(narrow, max_repeat).select(*[F.col(a).alias(b) for a, b in zip(names, (key, total, whole, part, bound), strict=True)])
+    src, n = fresh(docs.withColumns({c: F.lit(0) for c in t.columns}), "src", "n")
     d = docs.join(t, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(key)))
-    u = _draw(F.col(f"`{id_col}`"), text_of(f"`{text}`"), seed)
-    copies = F.floor(rate).cast("int") + (u < F.col(rate) - F.floor(rate)).cast("int")
+    t_ = text_of(f"`{text}`")
+    copies = _copies(n_words_of(t_), F.col(total), _draw(F.col(f"`{id_col}`"), t_, seed), F.col(whole), F.col(part), F.col(bound)).cast("int")
     return d.withColumn(n, copies).where(F.col(n) > 0).withColumn(src, F.explode(F.sequence(F.lit(1), n))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -53,7 +53,23 @@ def test_taken_comes_near_target(spark):
     )
     p = docs.select("doc_id", "source").join(mixing.plan(docs), "doc_id")
     for r in p.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
-        assert abs(r.taken - r.target) < 0.1 * r.target
+        assert abs(r.taken - r.target) < 0.01 * r.target
+
+
+def test_few_documents_and_one_huge_one_come_near_target(spark):
+    rows = [(s * 100 + i, "w " * (3000 if i == 0 else 40 + 7 * i % 50), f"s{s}") for s in range(12) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    p = docs.select("doc_id", "source").join(mixing.plan(docs), "doc_id").toPandas()
+    for _, g in p.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) < 0.05 * g["target"].iloc[0]
+    assert (p["taken"] <= 3 * p["size"]).all()
+
+
+def test_calibrated_bounds_are_near_the_fraction(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 17 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
+    narrow, _ = mixing._narrow(docs, "doc_id", "text", "source", mixing.SEED)
+    for r in mixing.rates(narrow).collect():
+        assert abs(r.bound - r.part) < 0.03
 
 
 def test_empty_table(spark):
