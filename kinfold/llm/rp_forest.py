@@ -4,8 +4,9 @@ Equal vectors are one class before anything else; one row of each class goes on.
 the median of a random projection; the ``spill`` share of rows on either side of the median goes to both children, so a
 close pair is separated only if it straddles the whole band.  The rows of a leaf are compared with each other in
 double precision, and the links that the trees find are united.  Splits are fitted on a bounded sample of the rows (``SAMPLE``),
-every row is routed; a leaf that is larger than ``LEAF`` because the table outgrew the sample is split further, in the same way, by
-the task that holds it.
+every row is routed.  Where the table has outgrown the sample, leaves of more than ``MOST`` times ``LEAF`` rows are split again in distributed
+rounds, each by ``DEPTH`` levels whose bounds come from a sample of the leaf's own rows; only then does a leaf meet in one task, which
+splits it down to ``LEAF``.
 
 Tight balls.  Vectors within half the angle of the threshold around one centre are all linked to each other,
 which needs no comparison.  Dense centres are looked for in the sample; such a ball is one group, counted by an aggregation, and
@@ -37,6 +38,11 @@ SPILL = 0.06
 #: Rows that the splits and the dense centres are fitted on, and how many of them a leaf or a ball needs.
 SAMPLE = 8192
 LEAST = 16
+#: Leaves of more than this many times LEAF rows are split in rounds, of so many levels and sampled rows of a leaf each.
+MOST = 16
+DEPTH = 5
+LEAF_SAMPLE = 1024
+ROUNDS = 8
 SEED = 20260101
 
 
@@ -103,6 +109,40 @@ def route(x: np.ndarray, nodes: list[tuple]) -> Iterator[tuple[int, np.ndarray]]
                 todo.append((child, rows[mask]))
 
 
+def directions(tree: int, turn: int, dim: int) -> np.ndarray:
+    """The directions of a round's splits, in heap order; the same for all leaves of a tree, so only bounds need storing."""
+    d = np.random.default_rng([SEED, tree, turn]).standard_normal((2**DEPTH - 1, dim))
+    return d / np.linalg.norm(d, axis=1, keepdims=True)
+
+
+def bounds(x: np.ndarray, d: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) of each split, from sampled rows; a split that has too few of them sends every row left."""
+    low, high = np.full(len(d), np.inf), np.full(len(d), np.inf)
+    members = {0: np.arange(len(x))}
+    for i in range(len(d)):
+        m = members.pop(i, None)
+        if m is None or len(m) < 2 * LEAST:
+            continue
+        p = x[m] @ d[i]
+        a, mid, b = np.quantile(p, [0.5 - spill, 0.5, 0.5 + spill])
+        if (p <= mid).all():
+            continue
+        low[i], high[i] = a, b
+        members[2 * i + 1], members[2 * i + 2] = m[p <= mid], m[p > mid]
+    return low, high
+
+
+def descend(x: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, child) after ``DEPTH`` levels; ``low`` and ``high`` hold the bounds of each row's own leaf."""
+    p = x @ d.T
+    rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for _ in range(DEPTH):
+        q = p[rows, at]
+        left, right = q <= high[rows, at], q > low[rows, at]
+        rows, at = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * at[left] + 1, 2 * at[right] + 2])
+    return rows, at - (2**DEPTH - 1)
+
+
 def dense_centres(x: np.ndarray, near: float, least: int = LEAST) -> np.ndarray:
     """Centres of balls that hold ``least`` or more of the rows, found greedily from the fullest neighbourhoods."""
     if len(x) < least:
@@ -173,13 +213,82 @@ def _router(forest: list[list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], I
                 for leaf, rows in route(x, nodes):
                     part = b.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), leaf, np.int32)), part.column("rep"), part.column("ball"), part.column("v")],
+                        [pa.array(np.full(len(rows), t, np.int32)), pa.array([str(leaf)] * len(rows)), part.column("rep"), part.column("ball"), part.column("v")],
                         ["tree", "leaf", "rep", "ball", "v"],
                     )
 
     return run
 
 
+def _leaf_sizes(forest: list[list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("v"))
+            got = [(t, str(leaf), len(rows)) for t, nodes in enumerate(forest) for leaf, rows in route(x, nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int32(), pa.string(), pa.int64()), strict=True)], ["tree", "leaf", "n"])
+
+    return run
+
+
+def _fitter(turn: int, spill: float) -> Callable[[pa.Table], pa.Table]:
+    def run(group: pa.Table) -> pa.Table:
+        x = _matrix(group.column("v").combine_chunks())
+        tree = group.column("tree")[0].as_py()
+        low, high = bounds(x, directions(tree, turn, x.shape[1]), spill)
+        return pa.table({"_t": pa.array([tree], pa.int32()), "_l": [group.column("leaf")[0].as_py()], "low": [low], "high": [high]})
+
+    return run
+
+
+def _descender(turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("v"))
+            low, high = (b.column(c).flatten().to_numpy().reshape(len(x), -1) for c in ("low", "high"))
+            trees = b.column("tree").to_numpy()
+            for t in np.unique(trees).tolist():
+                own = np.flatnonzero(trees == t)
+                if t not in known:
+                    known[t] = directions(t, turn, x.shape[1])
+                rows, child = descend(x[own], known[t], low[own], high[own])
+                part = b.take(pa.array(own[rows]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("tree", "leaf", "rep", "ball", "v")), pa.array(child.astype(np.int32))], ["tree", "leaf", "rep", "ball", "v", "child"])
+
+    return run
+
+
+def refined(routed: DataFrame, sizes: DataFrame, most: int, spill: float) -> DataFrame:
+    """``routed`` with leaves of more than ``most`` rows split until none is left, or ``ROUNDS`` are over.
+
+    ``sizes``: (tree, leaf, n).  What is stored and joined is a row for each large leaf; the planner knows its size.
+    """
+    kind = routed.schema["v"].dataType.simpleString()
+    here = (F.col("tree") == F.col("_t")) & (F.col("leaf") == F.col("_l"))
+    rows, parts = routed, []
+    for turn in range(ROUNDS):
+        large = sizes.where(F.col("n") > most).select(F.col("tree").alias("_t"), F.col("leaf").alias("_l"), "n")
+        if large.isEmpty():
+            break
+        parts.append(rows.join(large, here, "left_anti"))
+        own = rows.join(large, here).drop("_t", "_l")
+        u = F.pmod(F.xxhash64("rep", "tree", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
+        sample = own.where(u * F.col("n") < LEAF_SAMPLE).select("tree", "leaf", "v")
+        fitted, _ = cut(sample.groupBy("tree", "leaf").applyInArrow(_fitter(turn, spill), "_t int, _l string, low array<double>, high array<double>"), "bounds")
+        none = F.array_repeat(F.lit(float("inf")), 2**DEPTH - 1)
+        asked = own.join(fitted, here, "left").select("tree", "leaf", "rep", "ball", "v", F.coalesce("low", none).alias("low"), F.coalesce("high", none).alias("high"))
+        rows = asked.mapInArrow(_descender(turn), f"tree int, leaf string, rep long, ball int, v {kind}, child int")
+        rows = rows.select("tree", F.concat_ws(".", "leaf", "child").alias("leaf"), "rep", "ball", "v")
+        sizes, _ = cut(rows.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")), "leaves")
+    for p in parts:
+        rows = rows.unionByName(p)
+    return rows
+
+
 def _comparer(threshold: float, leaf: int, spill: float) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -203,7 +312,7 @@ def representatives(vectors: DataFrame, id_col: str, vector: str) -> tuple[DataF
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
-    trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE,
+    trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE, most: int | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -219,7 +328,9 @@ def near_duplicates(
         forest = [grow(x, leaves, spill, SEED + t) for t in range(trees if leaves > 1 else 1)]
         kind = own.schema["v"].dataType.simpleString()
         placed, _ = cut(own.mapInArrow(_assign(dense_centres(x, near), near), f"rep long, copies long, v {kind}, ball int"), "balls")
-        routed = placed.mapInArrow(_router(forest), f"tree int, leaf int, rep long, ball int, v {kind}")
+        routed = placed.mapInArrow(_router(forest), f"tree int, leaf string, rep long, ball int, v {kind}")
+        sizes, _ = cut(placed.mapInArrow(_leaf_sizes(forest), "tree int, leaf string, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")), "leaves")
+        routed = refined(routed, sizes, most or MOST * leaf, spill)
         pairs.append(routed.groupBy("tree", "leaf").applyInArrow(_comparer(threshold, leaf, spill), "a long, b long"))
         balls.append(placed.select("rep", "copies", F.when(F.col("ball") >= 0, F.concat_ws(":", F.lit(length), "ball")).alias("ball")))
     if not balls:

@@ -74,6 +74,34 @@ def test_local_split_of_large_leaves_finds_links():
     assert len(pairs) <= s.sum() and len(pairs) >= 0.9 * s.sum()
 
 
+def test_large_leaves_are_split_in_rounds_and_keep_their_links(spark):
+    x = clustered(6000, 32, 12)
+    rows = [(i, row.tolist()) for i, row in enumerate(x)]
+    got = rp_forest.near_duplicates(frame(spark, rows), leaf=64, sample=128, most=400).collect()
+    u = rp_forest.unit(x)
+    there = int((u @ u.T >= 0.95).sum()) - len(u)
+    found = sum(r.n_links for r in got)
+    assert len(got) == 6000 and found <= there and found >= 0.97 * there
+
+
+def test_rounds_lose_no_row_and_end_with_small_leaves(spark):
+    x = np.concatenate([np.random.default_rng(3).standard_normal((7000, 12)), [[1.0] * 12]])
+    routed = spark.createDataFrame([(t, str(t), i, -1, row.tolist()) for t in range(2) for i, row in enumerate(x)], "tree int, leaf string, rep long, ball int, v array<double>")
+    sizes = routed.groupBy("tree", "leaf").count().withColumnRenamed("count", "n")
+    out = rp_forest.refined(routed, sizes, 500, 0.06).select("tree", "leaf", "rep").toPandas()
+    assert out.groupby(["tree", "leaf"]).size().max() <= 500
+    assert out.groupby("tree")["rep"].nunique().tolist() == [7001, 7001]
+    assert not out.duplicated().any()
+
+
+def test_a_leaf_without_sampled_rows_stays_whole():
+    x = rp_forest.unit(np.random.default_rng(5).standard_normal((300, 8)))
+    d = rp_forest.directions(0, 0, 8)
+    low, high = rp_forest.bounds(x[:20], d, 0.06)
+    rows, child = rp_forest.descend(x, d, np.tile(low, (300, 1)), np.tile(high, (300, 1)))
+    assert rows.tolist() == list(range(300)) and set(child.tolist()) == {0}
+
+
 def test_every_row_is_routed_and_leaves_shrink():
     x = rp_forest.unit(np.random.default_rng(2).standard_normal((4000, 16)))
     nodes = rp_forest.grow(x[:1000], 16, 0.06, 3)
