@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import similarity as S
+
 PRUNE_P, PRUNE_TOP = 0.003, 5
 RIVAL_MAX = 20
 
@@ -115,3 +117,35 @@ def rivals(pairs: DataFrame, rec: DataFrame, name: str = "name", addr: str = "ad
     x = pairs.select("s1", "src", "id").join(other, ["src", "id"]).join(first, ["cty", "nm"]).where("s1r <> s1")
     r = x.groupBy("s1", "src", "id").agg(F.count(F.lit(1)).alias("rv_n"), F.max(((F.col("n2") == F.col("n1r")) & (F.col("n2") != "")).cast("int")).alias("rv_num"))
     return pairs.select("s1", "src", "id").join(r, ["s1", "src", "id"], "left").fillna(0, ["rv_n"])
+
+
+def anchor_similarity(grouped: DataFrame, rec: DataFrame, name: str = "name", addr: str = "addr") -> DataFrame:
+    """How alike the candidate and its anchor are in name and address, and whether they come from one source; null without an anchor.
+
+    ``grouped``: pairs with a_src and a_id, as ``group_features`` gives them.
+    """
+    alike = S.column(S.token_set_ratio, 100)
+    one = rec.select("src", "id", F.col(name).alias("_n"), F.col(addr).alias("_a"))
+    other = rec.select(F.col("src").alias("a_src"), F.col("id").alias("a_id"), F.col(name).alias("_an"), F.col(addr).alias("_aa"))
+    x = grouped.select("s1", "src", "id", "a_src", "a_id").join(one, ["src", "id"]).join(other, ["a_src", "a_id"], "left")
+    return x.select(
+        "s1", "src", "id", alike(F.col("_n"), F.col("_an")).alias("anc_name"), alike(F.col("_a"), F.col("_aa")).alias("anc_addr"), (F.col("a_src") == F.col("src")).cast("int").alias("anc_same_src")
+    )
+
+
+def rival_addresses(pairs: DataFrame, rec: DataFrame, name: str = "name", addr: str = "addr", most: int = RIVAL_MAX) -> DataFrame:
+    """The best address similarity of the candidate to a rival (as ``rivals`` defines them), and by how much the pair's own exceeds it.
+
+    Compared once for each candidate and rival, whatever the number of lists that hold the candidate.
+    """
+    alike = S.column(S.token_set_ratio, 100)
+    first = rec.where((F.col("src") == 1) & (F.col(name) != "")).select("cty", F.col(name).alias("nm"), F.col("id").alias("s1r"), F.col(addr).alias("_ar"))
+    few = first.groupBy("cty", "nm").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= most).drop("c")
+    ends = pairs.select("src", "id").distinct()
+    other = rec.where((F.col("src") != 1) & (F.col(name) != "")).select("cty", "src", "id", F.col(name).alias("nm"), F.col(addr).alias("_a2"))
+    met = ends.join(other, ["src", "id"]).join(first.join(few, ["cty", "nm"]), ["cty", "nm"]).select("src", "id", "s1r", alike(F.col("_a2"), F.col("_ar")).alias("v"))
+    best = pairs.select("s1", "src", "id").join(met, ["src", "id"]).where("s1r <> s1").groupBy("s1", "src", "id").agg(F.max("v").alias("rv_addr"))
+    a = rec.where("src = 1").select(F.col("id").alias("s1"), F.col(addr).alias("_a1"))
+    b = rec.where("src <> 1").select("src", "id", F.col(addr).alias("_a2"))
+    x = pairs.select("s1", "src", "id").join(a, "s1").join(b, ["src", "id"]).join(best, ["s1", "src", "id"], "left")
+    return x.select("s1", "src", "id", "rv_addr", (alike(F.col("_a1"), F.col("_a2")) - F.col("rv_addr")).alias("rv_gap"))

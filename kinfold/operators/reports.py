@@ -157,3 +157,44 @@ def orphans(scores: DataFrame, truth: DataFrame, rec: DataFrame, score: str = "p
     seen = scores.groupBy("src", "id").agg(F.max(score).alias("m")).agg(F.count(F.when(F.col("m") > 0.5, 1)).alias("seen"))
     # One row each.
     return n.crossJoin(hit).crossJoin(pairs).crossJoin(seen).select((F.col("t") / F.col("n") * F.col("hit")).alias("expected"), (F.col("seen") / F.col("n")).alias("observed"))
+
+
+def examples(rec: DataFrame, truth: DataFrame, n: int = 4) -> DataFrame:
+    """``n`` groups of each country, chosen by a digest of their owner, with the records of all members."""
+    first = rec.where("src = 1").select(F.col("id").alias("s1"), "cty")
+    owners = truth.select("s1").distinct().join(first, "s1")
+    at = F.row_number().over(Window.partitionBy("cty").orderBy(F.md5(F.concat(F.lit("group:"), F.col("s1").cast("string")).cast("binary"))))
+    chosen = owners.withColumn("_n", at).where(F.col("_n") <= n).select("cty", "s1")
+    members = chosen.join(truth, "s1").select("s1", "src", "id").unionByName(chosen.select("s1", F.lit(1).alias("src"), F.col("s1").alias("id")))
+    return members.join(rec.select("src", "id", "cty", "name", "addr"), ["src", "id"])
+
+
+def decoys(rec: DataFrame, truth: DataFrame) -> DataFrame:
+    """Share of other-source records that belong to nobody."""
+    owned = truth.select("src", "id").distinct().withColumn("owned", F.lit(True))
+    x = rec.where("src <> 1").join(owned, ["src", "id"], "left")
+    return x.groupBy("src").agg(F.count(F.lit(1)).alias("n"), share(F.col("owned").isNull()).alias("decoy"))
+
+
+def agreement(pairs: DataFrame) -> DataFrame:
+    """How often both sides of a pair have numbers, share one, lie in one state, and have equal names; ``pairs`` carry both records' columns."""
+    numbers = [F.regexp_extract_all(F.col(f"addr_{k}"), F.lit("[0-9]+"), 0) for k in (1, 2)]
+    both = (F.size(numbers[0]) > 0) & (F.size(numbers[1]) > 0)
+    return pairs.groupBy("src").agg(
+        F.count(F.lit(1)).alias("pairs"), share(both).alias("both_numbers"), F.avg(F.when(both, F.arrays_overlap(*numbers).cast("double"))).alias("shared_number"),
+        share(F.col("st_1") == F.col("st_2")).alias("same_state"), share(F.col("name_1") == F.col("name_2")).alias("same_name"), share(F.col("addr_2") == "").alias("addr_empty"),
+    )
+
+
+def outcome_by_count(judged: DataFrame, top: int = 8) -> DataFrame:
+    """Mean F0.5, wrong and missed pairs by the number of true matches; ``top`` stands for that many or more."""
+    return judged.groupBy(F.least("t", F.lit(top)).alias("true_count")).agg(
+        F.avg("f").alias("f05"), F.count(F.lit(1)).alias("n"), F.sum(F.col("k") - F.col("a")).alias("wrong"), F.sum(F.col("t") - F.col("a")).alias("missed")
+    )
+
+
+def outcome_by_country(judged: DataFrame) -> DataFrame:
+    """Mean F0.5, precision and recall of pairs by country."""
+    return judged.groupBy("cty").agg(
+        F.avg("f").alias("f05"), F.count(F.lit(1)).alias("n"), F.try_divide(F.sum("a"), F.sum("k")).alias("precision"), F.try_divide(F.sum("a"), F.sum("t")).alias("recall")
+    )

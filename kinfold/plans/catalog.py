@@ -458,6 +458,16 @@ def rival_stats(d: Data) -> DataFrame:
     return context.rivals(d.cand, d.rec)
 
 
+@query("s1:i src:i id:i anc_name:d anc_addr:d anc_same_src:i")
+def anchor_similarity(d: Data) -> DataFrame:
+    return context.anchor_similarity(context.group_features(d.pairs), d.rec)
+
+
+@query("s1:i src:i id:i rv_addr:d rv_gap:d")
+def rival_addresses(d: Data) -> DataFrame:
+    return context.rival_addresses(d.pairs, d.rec)
+
+
 # ------------------------------------------------------------------ decisions
 
 
@@ -730,6 +740,42 @@ def orphan_check(d: Data) -> DataFrame:
     return reports.orphans(d.pairs, d.truth, d.rec)
 
 
+@query(
+    "cty:s s1:i src:i id:i name:s addr:s", [Q.REC, Q.TRUTH,
+    """own1 AS (SELECT cty, s1 FROM (SELECT DISTINCT s1 FROM truth) JOIN rec ON src = 1 AND id = s1 QUALIFY row_number() OVER (PARTITION BY cty ORDER BY md5('group:' || s1)) <= 4),
+    mem AS (SELECT s1, 1 AS src, s1 AS id FROM own1 UNION ALL SELECT t.s1, t.src, t.id FROM truth t JOIN own1 o ON t.s1 = o.s1)"""],
+    "(SELECT r.cty, s1, m.src, m.id, name, addr FROM mem m JOIN rec r ON m.src = r.src AND m.id = r.id)",
+)
+def example_groups(d: Data) -> DataFrame:
+    return reports.examples(d.rec, d.truth)
+
+
+@query("src:i n:i decoy:d", [Q.REC, Q.TRUTH], "(SELECT r.src, count(*) AS n, avg(CAST(t.id IS NULL AS INT)) AS decoy FROM rec r LEFT JOIN (SELECT DISTINCT src, id FROM truth) t ON r.src = t.src AND r.id = t.id WHERE r.src <> 1 GROUP BY r.src)")
+def decoy_share(d: Data) -> DataFrame:
+    return reports.decoys(d.rec, d.truth)
+
+
+@query(
+    "src:i pairs:i both_numbers:d shared_number:d same_state:d same_name:d addr_empty:d", [Q.REC, Q.TRUTH,
+    """ag AS (SELECT t.src, regexp_extract_all(a.addr, '[0-9]+') AS n1, regexp_extract_all(b.addr, '[0-9]+') AS n2, coalesce(a.st = b.st, false) AS st, a.name = b.name AS nm, b.addr = '' AS e
+    FROM truth t JOIN rec a ON a.src = 1 AND a.id = t.s1 JOIN rec b ON b.src = t.src AND b.id = t.id)"""],
+    """(SELECT src, count(*) AS pairs, avg(CAST(len(n1) > 0 AND len(n2) > 0 AS INT)) AS both_numbers, avg(CAST(list_has_any(n1, n2) AS INT)) FILTER (len(n1) > 0 AND len(n2) > 0) AS shared_number,
+    avg(CAST(st AS INT)) AS same_state, avg(CAST(nm AS INT)) AS same_name, avg(CAST(e AS INT)) AS addr_empty FROM ag GROUP BY src)""",
+)
+def true_pair_agreement(d: Data) -> DataFrame:
+    return reports.agreement(pairs.with_records(d.truth, d.rec, ["name", "addr", "st"]))
+
+
+@query("true_count:i f05:d n:i wrong:i missed:i", [*_CHOSEN, Q.per_record()], "(SELECT least(t, 8) AS true_count, avg(f) AS f05, count(*) AS n, sum(k - a) AS wrong, sum(t - a) AS missed FROM judged GROUP BY least(t, 8))")
+def outcome_by_count(d: Data) -> DataFrame:
+    return reports.outcome_by_count(decide.per_record(decide.rule_expected(d.pairs, "p", 1.5), d.universe, d.truth))
+
+
+@query("cty:s f05:d n:i precision:d recall:d", [*_CHOSEN, Q.per_record()], "(SELECT cty, avg(f) AS f05, count(*) AS n, sum(a) / nullif(sum(k), 0) AS precision, sum(a) / nullif(sum(t), 0) AS recall FROM judged GROUP BY cty)")
+def outcome_by_country(d: Data) -> DataFrame:
+    return reports.outcome_by_country(decide.per_record(decide.rule_expected(d.pairs, "p", 1.5), d.universe, d.truth))
+
+
 # ------------------------------------------------------------------ models
 
 

@@ -3,7 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import blocking, context, decide, learned, pairs, sampling, twins
+from kinfold.functions import similarity
+from kinfold.operators import blocking, context, decide, learned, pairs, reports, sampling, twins
 from kinfold.sources import tables, tsv
 
 REC = "id long, src int, cty string, name string, addr string, st string"
@@ -106,6 +107,30 @@ def test_group_context_of_single_rows_and_ties(spark):
     assert (x[2, 2].rk, x[2, 2].a_id, x[2, 3].rk, x[2, 3].a_id) == (0, 3, 1, 2)
 
 
+def test_anchor_and_rival_similarity(spark):
+    rows = [(1, 1, "en", "red shop", "5 oak road", ""), (2, 1, "en", "red shop", "9 elm lane", ""), (3, 2, "en", "red shop", "5 oak road", ""), (4, 3, "en", "red shop two", "", "")]
+    rec = records(spark, rows)
+    p = scored(spark, [(1, 2, 3, 0.9), (1, 3, 4, 0.5), (2, 2, 3, 0.4)])
+    got = {(r.s1, r.id): r for r in context.anchor_similarity(context.group_features(p), rec).collect()}
+    assert (got[1, 3].anc_name, got[1, 3].anc_addr, got[1, 3].anc_same_src) == (1.0, None, 0)
+    assert (got[1, 4].anc_name, got[1, 4].anc_addr) == (1.0, None)
+    assert (got[2, 3].anc_name, got[2, 3].anc_same_src) == (None, None)
+    r = {(x.s1, x.id): x for x in context.rival_addresses(p, rec).collect()}
+    far = similarity.token_set_ratio("5 oak road", "9 elm lane") / 100
+    assert r[1, 3].rv_addr == pytest.approx(far) and r[1, 3].rv_gap == pytest.approx(1 - far)
+    assert r[2, 3].rv_addr == 1.0 and r[2, 3].rv_gap == pytest.approx(far - 1)
+    assert r[1, 4].rv_addr is None and r[1, 4].rv_gap is None
+    assert all(x.rv_addr is None for x in context.rival_addresses(p, rec, most=1).collect())
+
+
+def test_outcomes_add_up(spark):
+    judged = spark.createDataFrame([("en", 2, 1, 1, 0.5), ("en", 0, 12, 0, 0.0), ("fr", 0, 0, 0, 1.0)], "cty string, k long, t long, a long, f double")
+    by = {r.true_count: (r.f05, r.n, r.wrong, r.missed) for r in reports.outcome_by_count(judged).collect()}
+    assert by == {1: (0.5, 1, 1, 0), 8: (0.0, 1, 0, 12), 0: (1.0, 1, 0, 0)}
+    c = {r.cty: (r.precision, r.recall) for r in reports.outcome_by_country(judged).collect()}
+    assert c == {"en": (0.5, 1 / 13), "fr": (None, None)}
+
+
 def test_twins(spark):
     rec = records(spark, [(1, 2, "en", "red shop", "5 road", ""), (2, 3, "en", "shop red", "road 5", ""), (3, 2, "en", "shop", "", ""), (4, 1, "en", "red shop", "5 road", "")])
     t = twins.groups(rec)
