@@ -63,3 +63,29 @@ def write_map(df: DataFrame, path: str) -> None:
 
 def read_map(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def _members(lists: DataFrame, column: str) -> DataFrame:
+    one = lists.select("source1_entity_id", F.explode(F.split(column, ",")).alias("e"))
+    return one.where("e <> ''")
+
+
+def violations(lists: DataFrame, candidates: DataFrame, all_s1: DataFrame) -> DataFrame:
+    """One row of counts, all zero for sound output: records without a row, rows that repeat or name no record, ill-formed or repeated ids,
+    other-source ids in several lists, and matches that aren't candidates."""
+    owner = lists.groupBy("source1_entity_id").agg(F.count(F.lit(1)).alias("n"))
+    want = all_s1.select(F.concat(F.lit("S1_"), F.col("s1")).alias("source1_entity_id"), F.lit(True).alias("wanted"))
+    rows = want.join(owner, "source1_entity_id", "full").agg(
+        F.count(F.when(F.col("n").isNull(), 1)).alias("missing"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated"), F.count(F.when(F.col("wanted").isNull(), 1)).alias("unknown")
+    )
+    m = _members(lists, "matched_entity_ids")
+    c = _members(candidates, "candidate_entity_ids").distinct().withColumn("ok", F.lit(True))
+    per = m.join(c, ["source1_entity_id", "e"], "left").groupBy("e").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("source1_entity_id").alias("owners"), F.count(F.when(F.col("ok").isNull(), 1)).alias("outside")
+    )
+    ids = per.agg(
+        F.count(F.when(~F.col("e").rlike("^S[23]_[0-9]+$"), 1)).alias("ill_formed"), F.coalesce(F.sum(F.col("n") - F.col("owners")), F.lit(0)).alias("twice_in_a_list"),
+        F.count(F.when(F.col("owners") > 1, 1)).alias("shared"), F.coalesce(F.sum("outside"), F.lit(0)).alias("not_candidates"),
+    )
+    # One row each.
+    return rows.crossJoin(ids)
