@@ -127,11 +127,12 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mixed documents themselves: all columns of the input, each row as often as its rate and draw say."""
     names = ("_kf_source", "source_size", "whole", "part", "bound")
-    key, total, whole, part, bound = fresh(docs, *names)
+    key, total, whole, part, bound, size, u, n, copy = fresh(docs, *names, "size", "u", "n", "copy")
     narrow, _ = _narrow(docs, id_col, text, source, seed)
     t = rates(narrow, max_repeat).select(*[F.col(a).alias(b) for a, b in zip(names, (key, total, whole, part, bound), strict=True)])
-    src, n = fresh(docs.withColumns({c: F.lit(0) for c in t.columns}), "src", "n")
-    d = docs.join(t, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(key)))
     t_ = text_of(f"`{text}`")
-    copies = _copies(n_words_of(t_), F.col(total), _draw(F.col(f"`{id_col}`"), t_, seed), F.col(whole), F.col(part), F.col(bound)).cast("int")
-    return d.withColumn(n, copies).where(F.col(n) > 0).withColumn(src, F.explode(F.sequence(F.lit(1), n))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # What reads the text comes before the join, once for each row; an empty array drops the rows that aren't taken.
+    d = docs.withColumns({size: n_words_of(t_), u: _draw(F.col(f"`{id_col}`"), t_, seed)})
+    d = d.join(t, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(key)))
+    d = d.withColumn(n, _copies(*[F.col(c) for c in (size, total, u, whole, part, bound)]).cast("int"))
+    return d.withColumn(copy, F.explode(F.array_repeat(F.lit(True), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
