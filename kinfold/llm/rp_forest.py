@@ -340,7 +340,8 @@ def near_duplicates(
         found, nodes = found.unionByName(p), nodes.unionByName(b)
     found, _ = cut(found.distinct(), "links")
     groups = nodes.where(F.col("ball").isNotNull()).groupBy("ball").agg(F.sum("copies").alias("size"), F.min("rep").alias("first"))
-    placed = nodes.join(groups, "ball", "left")
+    # A ball holds LEAST of the sampled rows of its length, so there are at most sample / LEAST balls a length, whatever the table's size.
+    placed = nodes.join(F.broadcast(groups), "ball", "left")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = both.join(nodes.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("across"))
     comp = connected_components(found.unionByName(placed.where(F.col("first").isNotNull()).select(F.col("rep").alias("a"), F.col("first").alias("b"))))
