@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,17 +39,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/kinfold/{label}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables of this driver that haven't been removed.
+_made: list[str] = []
+
+
 def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again: lineage ends in files that outlive executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Removes the scratch tables that were made inside it, but for the paths that are put into the set it gives."""
+    before, keep = len(_made), set()
+    try:
+        yield keep
+    finally:
+        remove(spark, *[p for p in _made[before:] if p not in keep])
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     for path in paths:
+        if path in _made:
+            _made.remove(path)
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -57,6 +76,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: A key with more than this share of all rows is joined by broadcast.  There can't be more of them than its inverse.
+HOT_SHARE = 1 / 4096
+
+
+def join_spread(rows: DataFrame, per_key: DataFrame, key: str, copies: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to the table ``per_key``, which has one row for each value of ``key`` and says in ``copies`` how many rows have it.
+
+    Rows with a hot key stay where they are: the hot part of ``per_key`` has at most 1 / HOT_SHARE rows, whatever the size of the
+    table, and is broadcast.  All other keys are joined as the planner likes; none of them can fill a task.
+    ``total`` is the number of rows, or more; ``copies`` isn't in the result.  No key of ``per_key`` may be null.
+    """
+    bound = F.lit(total * HOT_SHARE)
+    hot, cold = per_key.where(F.col(copies) > bound).drop(copies), per_key.where(F.col(copies) <= bound).drop(copies)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return near.unionByName(far)
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that ``df`` doesn't have yet, whatever its extra columns are called."""
     taken = {c.lower() for c in df.columns}

@@ -3,7 +3,9 @@
 Each step replaces the edges of a node by edges to its smallest neighbour, so paths shorten by half
 and the table ends as one star per component, after a number of rounds that is logarithmic in practice.  A step is
 two aggregations with map-side combine and two joins; nothing is collected, and no group of edges is gathered in one
-task: a hub's edges meet its minimum in a join that Spark can split.  Every round is written to the shared folder.
+task: the minima of hubs, of which there are few, are broadcast to their edges.  Every round is written to the shared folder.
+
+The rounds end when the table no longer changes, which is seen by its number of edges and the exclusive or of their hashes.
 """
 
 from __future__ import annotations
@@ -11,20 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remove
+from .common import cut, join_spread, remove
 
 MAX_ROUNDS = 60
 
 
-def _star(pairs: DataFrame, larger: bool) -> DataFrame:
-    """pairs: (u, v).  Each u tells its chosen neighbours the smallest id that it knows."""
-    m = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    x = pairs.join(m, "u")
+def _star(pairs: DataFrame, total: int, larger: bool) -> DataFrame:
+    """pairs: (u, v), at most ``total``.  Each u tells its chosen neighbours the smallest id that it knows."""
+    m = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    x = join_spread(pairs, m, "u", "n", total)
     if larger:
         return x.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return x.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v"))
 
 
+def state_of(edges: DataFrame) -> tuple[int, int | None]:
+    """Number of rows and a digest of distinct rows (u, v) that no order and no number of rows can make overflow."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges``: (a, b) of one orderable type.  Returns (id, component) for every id in an edge with a != b.
 
@@ -35,15 +42,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e, path = cut(e, "edges")
     state = None
     for _ in range(MAX_ROUNDS):
-        digest = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if digest[0] == 0 or digest == state:
+        now = state_of(e)
+        if now[0] == 0 or now == state:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
-        state = digest
+        state = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, larger=True).distinct()
-        e, new = cut(_star(large, larger=False).distinct(), "edges")
+        large = _star(both, 2 * now[0], larger=True).distinct()
+        e, new = cut(_star(large, 2 * now[0], larger=False).distinct(), "edges")
         remove(spark, path)
         path = new
     raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
