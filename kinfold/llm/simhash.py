@@ -3,13 +3,16 @@
 A 64-bit fingerprint is cut into ``segments``.  If two fingerprints differ in ``radius`` bits or fewer, they differ in
 at most ``radius // segments`` bits of one segment.  So each fingerprint looks up, in a table keyed by segment value,
 every value of the small Hamming ball around each of its own segments; what it meets is verified over all
-64 bits.  Equal fingerprints are one class before that, so copies are never paired, whatever their number.
+64 bits.  Equal fingerprints are one class before that, so copies are never paired, whatever their number.  Lookups are a merge join,
+which spills and which Spark can split, so a segment value of many fingerprints needs no more memory.
 
 Texts are lower-cased in A-Z and cut at ASCII white space; a shingle is ``width`` words joined by a space (fewer words:
 all of them; none: fingerprint 0), hashed by XXH64 with seed 42.  A bit is 1 if set in over half of the hashes.
 
 Defined results: a null text is empty; a null id never names a group while the group has another id; repeated rows share a
-group; an empty table gives an empty result; further columns of the input are ignored by ``groups`` and kept by ``dedup``.
+group, and ``dedup`` keeps one of them; a bit that is set in exactly half of the hashes is 0; a very long text is hashed in blocks of ``BLOCK``
+shingles; an empty table gives an empty result; further columns of the input are ignored by ``groups`` and kept by ``dedup``,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, text_of
+from .common import cut, fresh, join_spread, remove, text_of
 from .components import connected_components
 
 WIDTH = 3
@@ -91,22 +94,29 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> Dat
     indexed = fps.select(F.col("fp").alias("b"), F.explode(F.array(*keys)).alias("k")).select("b", "k.seg", "k.key")
     asked = fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probes))).alias("k")).select("a", "k.seg", "k.key")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return asked.join(indexed.hint("shuffle_hash"), ["seg", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return asked.join(indexed, ["seg", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """One row per input row: id, th (hash of the text), fp, component_id (smallest id of its group) and root, which names the group."""
+    spark = docs.sparkSession
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     d = with_fingerprint(d, "text").select("id", F.xxhash64(text_of("text")).alias("th"), "fp")
     d, _ = cut(d, "fingerprints")
-    classes, _ = cut(d.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    classes, path = cut(d.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
     comp = connected_components(links(classes.select("fp"), radius, segments))
     linked = comp.withColumnRenamed("id", "fp").join(classes, "fp")
-    named = linked.join(linked.groupBy("component").agg(F.min("rep").alias("first")), "component").select("fp", "component", "first")
+    # A component of many fingerprints is a group like any other: its members meet its smallest id without meeting in a task.
+    first = linked.groupBy("component").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = join_spread(linked, first, "component", "n", total).select("fp", "component", "first")
     named = classes.join(named, "fp", "left").select(
-        "fp", F.coalesce("component", "fp").alias("root"), F.when(F.col("component").isNotNull(), F.col("first")).otherwise(F.col("rep")).alias("component_id")
-    )
-    return d.join(named, "fp").select("id", "th", "fp", "root", "component_id")
+        "fp", "copies", F.coalesce("component", "fp").alias("root"),
+        F.when(F.col("component").isNotNull(), F.col("first")).otherwise(F.col("rep")).alias("component_id"),
+    )
+    named, _ = cut(named, "groups")
+    remove(spark, path)
+    return join_spread(d, named, "fp", "copies", total).select("id", "th", "fp", "root", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
