@@ -3,6 +3,7 @@
 The cache is a Parquet table in a folder that all machines share: (digest of the normalised content) -> (number of
 tokens), one subfolder per tokenizer version.  The version is a digest of the vocabulary file and of everything else that
 decides the count.  Texts are joined to the cache by digest; only distinct misses are encoded, and they are appended.
+A run that misses nothing reads the texts once, for their digests, and moves none.
 
 The normalisation is that of the tokenizer: byte-level BPE has none, so the content is the text itself and null is empty.
 
@@ -20,6 +21,7 @@ import base64
 import hashlib
 import json
 import os
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -27,11 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, exists, scratch_path, text_of
+from .common import HOT_SHARE, cut, exists, join_spread, remove, scratch_path, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 LIMIT = 1024
+#: Digests that a worker remembers to have encoded, so that rows that repeat an id and a text are encoded once.
+REMEMBER = 200_000
+#: Bytes that a missing digest and id take when broadcast, about.
+ROW_BYTES = 128
 _SCHEMA = "digest binary, n_tokens long"
 
 
@@ -77,10 +83,18 @@ def counter(vocabulary: str = VOCABULARY, ranks: str = RANKS) -> Callable[[str],
 def _encoder(vocabulary: str, ranks: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = None
+        count, seen = None, OrderedDict()
         for b in batches:
             count = count or counter(vocabulary, ranks)
-            yield pd.DataFrame({"digest": b["digest"], "n_tokens": [count(t) for t in b["t"]]})
+            got = []
+            for digest, t in zip(b["digest"], b["t"], strict=True):
+                if digest in seen:
+                    continue
+                seen[digest] = None
+                if len(seen) > REMEMBER:
+                    seen.popitem(last=False)
+                got.append((digest, count(t)))
+            yield pd.DataFrame(got, columns=["digest", "n_tokens"])
 
     return encode
 
@@ -93,18 +107,38 @@ def cached(spark, cache: str, vocabulary: str = VOCABULARY) -> DataFrame:
     return spark.read.schema(_SCHEMA).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def fill(docs: DataFrame, keyed: DataFrame, cache: str, id_col: str, text: str, vocabulary: str, ranks: str) -> None:
-    """Encode the distinct texts that the cache lacks and append them.
+def chosen_texts(docs: DataFrame, classes: DataFrame, total: int, cache: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(digest, t): one row for each class that the cache lacks; cold rows that repeat an id and a text come together, and the encoder skips them.
 
-    One row is chosen for each missing digest on narrow rows; only then are the chosen texts moved, spread by id and digest.
+    ``classes``: digest, id (the smallest), copies.  Where nothing is missing, no text is read; where the missing classes fit the session's
+    broadcast threshold, by their count, no text is moved; else texts are moved by digest, but for the copies of hot texts.
     """
     spark = docs.sparkSession
-    missing = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(cached(spark, cache, vocabulary), "digest", "left_anti")
-    missing = missing.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    missing = classes.join(cache, "digest", "left_anti").select(F.col("digest").alias("_digest"), F.col("id").alias("_id"), "copies")
+    missing, path = cut(missing, "missing")
+    n = missing.count()
     d = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("t"))
     d = d.withColumn("digest", F.unhex(F.sha2("t", 256)))
-    chosen = d.join(missing.hint("shuffle_hash"), (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    counted = chosen.select("digest", "t").mapInPandas(_encoder(vocabulary, ranks), _SCHEMA)
+    if not n:
+        remove(spark, path)
+        return d.select("digest", "t").limit(0)
+    # Said without an equality of the ids, so that the digest alone deals the rows.
+    here = (F.col("digest") == F.col("_digest")) & ~F.coalesce(F.col("id") != F.col("_id"), F.col("id").isNull() != F.col("_id").isNull())
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if n * ROW_BYTES <= limit:
+        return d.join(F.broadcast(missing), here, "left_semi").select("digest", "t").dropDuplicates(["digest"])
+    bound = F.lit(total * HOT_SHARE)
+    hot, cold = missing.where(F.col("copies") > bound), missing.where(F.col("copies") <= bound)
+    few = F.broadcast(hot)
+    near = d.join(few, here, "left_semi").select("digest", "t").dropDuplicates(["digest"])
+    far = d.join(few, F.col("digest") == F.col("_digest"), "left_anti").join(cold.hint("shuffle_hash"), here, "left_semi")
+    return near.unionByName(far.select("digest", "t"))
+
+
+def fill(docs: DataFrame, classes: DataFrame, total: int, cache: str, id_col: str, text: str, vocabulary: str, ranks: str) -> None:
+    """Encode the distinct texts that the cache lacks and append them."""
+    chosen = chosen_texts(docs, classes, total, cached(docs.sparkSession, cache, vocabulary), id_col, text)
+    counted = chosen.mapInPandas(_encoder(vocabulary, ranks), _SCHEMA)
     counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(f"{cache}/{version(vocabulary)}")
 
 
@@ -117,7 +151,10 @@ def count_tokens(
     t = text_of(f"`{text}`")
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("digest"))
     keyed, _ = cut(keyed, "digests")
-    fill(docs, keyed, cache, id_col, text, vocabulary, ranks)
-    return keyed.join(cached(spark, cache, vocabulary), "digest").select(
+    classes, _ = cut(keyed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    fill(docs, classes, total, cache, id_col, text, vocabulary, ranks)
+    counts = cached(spark, cache, vocabulary).join(classes.select("digest", "copies"), "digest")
+    return join_spread(keyed, counts, "digest", "copies", total).select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
