@@ -10,11 +10,12 @@ exceeds N by less than a.  A place outside 0..N-1 is permuted again until it lie
 no walk is longer than a*b - N + 1 steps, so the loop for the few rows that need one always ends.
 
 Row numbers don't come from a global sort.  Equal rows are counted first, the distinct ones are dealt
-to ``buckets`` by a hash of all that tells them apart, numbered within their bucket, and shifted by the
-totals of earlier buckets, a table of ``buckets`` rows.  A row that fills a third of the table is one group.
+to buckets by a hash of all that tells them apart, numbered within their bucket, and shifted by the
+totals of earlier buckets.  There is a bucket for every ``BUCKET_ROWS`` rows, so no task sorts more than a few times that, and the table of
+totals has a row per bucket (at 10^11 rows 400,000, some 10 MB).  A row that fills a third of the table is one group.
 
 Defined results: a null id or text is a value like any other, and a null text has size 1 and checksum 0; equal rows (same
-id and text) get different slots and are interchangeable; an empty table gives an empty result; other columns of
+id and text) get different slots and are interchangeable; a very long text counts by its size and checksum alone; an empty table gives an empty result; other columns of
 the input are ignored.
 """
 
@@ -26,7 +27,9 @@ from pyspark.sql.window import Window
 
 from .common import cut, fresh
 
-BUCKETS = 1024
+#: Rows for each of which there is a bucket.
+BUCKET_ROWS = 1 << 18
+LEAST_BUCKETS = 64
 ROUNDS = 6
 #: Rows that one array holds while equal rows are spread out again.
 CHUNK = 65_536
@@ -86,17 +89,19 @@ def row_of_place(df: DataFrame, place: str, n: str, key: int, out: str = "row")
     return _walked(df, place, n, key, out, inverse=True)
 
 
-def numbered(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
+def numbered(df: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``columns`` of every row with ``row`` (0..N-1, gapless) and ``n_total`` (N).
 
     The number depends on the values and N alone, not on files, partitions or task order.
     """
     groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_kf_n"))
-    groups, _ = cut(groups.withColumn("_kf_b", F.pmod(F.xxhash64(*columns), F.lit(buckets))), "numbered")
+    groups, _ = cut(groups.withColumn("_kf_h", F.xxhash64(*columns)), "numbered")
+    rows = groups.agg(F.sum("_kf_n")).first()[0] or 0
+    groups = groups.withColumn("_kf_b", F.pmod("_kf_h", F.lit(max(LEAST_BUCKETS, -(-rows // bucket_rows)))))
     totals = groups.groupBy("_kf_b").agg(F.sum("_kf_n").alias("t"))
     before = Window.orderBy("_kf_b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # At most ``buckets`` rows: safe in one task, and to broadcast.
+    # A row per bucket: safe in one task, and to broadcast.
     totals = totals.select("_kf_b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("_kf_off"), F.sum("t").over(everything).alias("n_total"))
     own = Window.partitionBy("_kf_b").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
     g = groups.withColumn("_kf_at", F.coalesce(F.sum("_kf_n").over(own), F.lit(0))).join(F.broadcast(totals), "_kf_b")
