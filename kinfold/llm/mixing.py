@@ -4,10 +4,13 @@ Tokens are summed per source, targets follow from the weights, and the rate of a
 over its size.  Each document is emitted floor(rate) times, and once more by a Bernoulli draw: a number in [0, 1) made from a
 hash of the seed, its id and its text.  Nothing depends on partitions or task order.
 
-A document with over 1/16 of its source's words is drawn if its number is below the fraction of the rate.  For the others
-the bound is calibrated: of ``BINS`` bounds, that at which the words drawn come nearest to what the source still
-lacks.  It differs from the fraction by the sampling error of the plain draw, which a source of few documents or many copies
-would otherwise keep.  The bounds come from sums over (source, bin), at most ``BINS`` rows a source.
+The probability of the draw is the fraction of the rate, for every document.  So that the drawn words come near their target,
+the draws are stratified by size: documents of a source whose sizes begin with the same three binary digits and have as many of them
+are a stratum, and a document is drawn if its number is below the stratum's own quantile of that fraction, interpolated within one of
+``BINS`` bins.  The expected number of drawn documents of a stratum, given its bins, is the fraction of its
+documents exactly, and no document of a stratum is told from another, so each is drawn with the probability of the fraction; what
+differs from independent draws is only that a stratum as a whole can't draw far too many or too few.  A stratum of one document is a plain draw.
+The bounds come from counts over (source, stratum, bin), whatever the number of documents.
 
 Targets: every source gets its weight's share of the total; one that would exceed ``max_repeat`` times its own
 size is held there, and the excess is shared again by weight among the others until none is above.  That is the
@@ -25,14 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, n_words_of, text_of
+from .common import cut, fresh, n_words_of, remove, text_of
 
 SEED = "mix-1"
 MAX_REPEAT = 3
 WEIGHTS = (1, 2, 3)
-#: Bounds that the draw of a source may have, and the share of its words above which a document isn't calibrated.
+#: Bins of a stratum's draws.
 BINS = 4096
-LARGE = 16
 
 
 def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -67,72 +69,64 @@ def _draw(id_col: Column, text: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(word.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def _narrow(docs: DataFrame, id_col: str, text: str, source: str, seed: str) -> tuple[DataFrame, str]:
-    """Id, source, size and draw of each document, written: the texts are read once for all that follows."""
-    t = text_of(f"`{text}`")
-    return cut(
-        docs.select(
-            F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), n_words_of(t).alias("size"), _draw(F.col(f"`{id_col}`"), t, seed).alias("u")
-        ),
-        "draws",
-    )
+def _stratum(size: Column) -> Column:
+    """Number and first three of the binary digits of a size, so sizes of a stratum differ by less than a quarter."""
+    return F.concat_ws(":", F.length(F.bin(size)).cast("string"), F.substring(F.bin(size), 1, 3))
 
 
-def _large(size: Column, source_size: Column) -> Column:
-    return size * LARGE > source_size
+def _narrow(docs: DataFrame, id_col: str, text: str, source: str, seed: str) -> tuple[DataFrame, str]:
+    """Id, source, size, stratum and draw of each document, written: the texts are read once for all that follows."""
+    t = text_of(f"`{text}`")
+    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), n_words_of(t).alias("size"), _draw(F.col(f"`{id_col}`"), t, seed).alias("u"))
+    return cut(d.withColumn("stratum", _stratum(F.col("size"))), "draws")
 
 
 def rates(narrow: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """One row per source: _kf_source, source_size, target, whole (copies of every document), part (the fraction) and bound (of the draw).
+    """One row per source and stratum: _kf_source, _kf_stratum, source_size, target, whole (copies of every document), part (the fraction) and bound (of the draw).
 
     Written, so the planner knows its size and broadcasts it only below the session's threshold.
     """
-    t = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat)
+    bins = narrow.groupBy("source", "stratum", F.floor(F.col("u") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    bins, path = cut(bins, "bins")
+    t = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), max_repeat)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     t = t.select(F.col("source").alias("_kf_source"), "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("part"))
-    t, _ = cut(t, "sources")
-    d = narrow.join(t, narrow["source"].eqNullSafe(t["_kf_source"]))
-    large = _large(F.col("size"), F.col("source_size"))
-    bins = d.groupBy("_kf_source", F.floor(F.col("u") * BINS).alias("bin")).agg(
-        F.sum(F.when(large, 0).otherwise(F.col("size"))).alias("words"),
-        F.sum(F.when(large & (F.col("u") < F.col("part")), F.col("size")).otherwise(0)).alias("drawn"),
-        F.first("part").alias("part"),
-        F.first("source_size").alias("source_size"),
-    )
-    own = Window.partitionBy("_kf_source")
-    lacks = F.col("part") * F.col("source_size") - F.sum("drawn").over(own)
-    so_far = F.sum("words").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    bins = bins.select("_kf_source", lacks.alias("lacks"), F.abs(lacks - so_far).alias("off"), ((F.col("bin") + 1) / F.lit(float(BINS))).alias("bound"))
-    best = bins.groupBy("_kf_source").agg(F.min(F.struct("off", "bound")).alias("b"), F.first("lacks").alias("lacks"))
-    # No words at all is a choice too.
-    best = best.select(F.col("_kf_source").alias("_kf_s"), F.when(F.abs("lacks") <= F.col("b.off"), 0.0).otherwise(F.col("b.bound")).alias("bound"))
-    out = t.join(best, t["_kf_source"].eqNullSafe(best["_kf_s"])).drop("_kf_s")
+    t, sources = cut(t, "sources")
+    own = Window.partitionBy("source", "stratum")
+    b = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(own))
+    b = b.join(t, b["source"].eqNullSafe(t["_kf_source"])).withColumn("need", F.col("part") * F.col("all"))
+    # The bin that reaches what is needed, and the share of it that is; a fraction of 0 needs none.
+    at = F.when((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")), (F.col("bin") + (F.col("need") - (F.col("upto") - F.col("n"))) / F.col("n")) / F.lit(float(BINS)))
+    keys = ("_kf_source", "source_size", "target", "whole", "part")
+    out = b.withColumn("at", at).groupBy(*keys, F.col("stratum").alias("_kf_stratum")).agg(F.coalesce(F.min("at"), F.lit(0.0)).alias("bound"))
     out, _ = cut(out, "rates")
+    remove(narrow.sparkSession, path, sources)
     return out
 
 
-def _copies(size: Column, source_size: Column, u: Column, whole: Column, part: Column, bound: Column) -> Column:
-    return whole + (u < F.when(_large(size, source_size), part).otherwise(bound)).cast("long")
+def _copies(u: Column, whole: Column, bound: Column) -> Column:
+    return whole + (u < bound).cast("long")
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Id, size, source_size, target, copies and taken for each document."""
     d, _ = _narrow(docs, id_col, text, source, seed)
     t = rates(d, max_repeat)
-    p = d.join(t, d["source"].eqNullSafe(t["_kf_source"]))
-    copies = _copies(*[F.col(c) for c in ("size", "source_size", "u", "whole", "part", "bound")])
+    p = d.join(t, d["source"].eqNullSafe(t["_kf_source"]) & (d["stratum"] == t["_kf_stratum"]))
+    copies = _copies(F.col("u"), F.col("whole"), F.col("bound"))
     return p.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mixed documents themselves: all columns of the input, each row as often as its rate and draw say."""
-    names = ("_kf_source", "source_size", "whole", "part", "bound")
-    key, total, whole, part, bound, size, u, n, copy = fresh(docs, *names, "size", "u", "n", "copy")
-    narrow, _ = _narrow(docs, id_col, text, source, seed)
-    t = rates(narrow, max_repeat).select(*[F.col(a).alias(b) for a, b in zip(names, (key, total, whole, part, bound), strict=True)])
+    names = ("_kf_source", "_kf_stratum", "whole", "bound")
+    key, skey, whole, bound, stratum, u, n, copy = fresh(docs, *names, "stratum", "u", "n", "copy")
+    narrow, path = _narrow(docs, id_col, text, source, seed)
+    t = rates(narrow, max_repeat).select(*[F.col(a).alias(b) for a, b in zip(names, (key, skey, whole, bound), strict=True)])
+    remove(docs.sparkSession, path)
     t_ = text_of(f"`{text}`")
     # What reads the text comes before the join, once for each row; an empty array drops the rows that aren't taken.
-    d = docs.withColumns({size: n_words_of(t_), u: _draw(F.col(f"`{id_col}`"), t_, seed)})
-    d = d.join(t, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(key)))
-    d = d.withColumn(n, _copies(*[F.col(c) for c in (size, total, u, whole, part, bound)]).cast("int"))
+    d = docs.withColumns({stratum: _stratum(n_words_of(t_)), u: _draw(F.col(f"`{id_col}`"), t_, seed)})
+    d = d.join(t, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(key)) & (F.col(stratum) == F.col(skey)))
+    d = d.withColumn(n, _copies(*[F.col(c) for c in (u, whole, bound)]).cast("int"))
     return d.withColumn(copy, F.explode(F.array_repeat(F.lit(True), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

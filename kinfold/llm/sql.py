@@ -63,16 +63,14 @@ f AS (SELECT *, ss * {m} / weight AS full_at FROM w),
 l AS (SELECT *, (sum(ss) OVER () - coalesce(sum(ss * {m}) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM f WINDOW b AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, ss, CASE WHEN full_at < level THEN CAST(ss * {m} AS DOUBLE) ELSE weight * (SELECT level FROM l WHERE full_at >= level ORDER BY full_at, source NULLS LAST LIMIT 1) END AS target FROM l),
-u AS (SELECT doc_id, d.source, size, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0.0 END AS rate, size * {mixing.LARGE} > ss AS large,
+u AS (SELECT doc_id, d.source, size, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0.0 END AS rate, length(bin(size)) AS digits, substr(bin(size), 1, 3) AS head,
   CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || h), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-n AS (SELECT source, CAST(floor(u * {mixing.BINS}) AS BIGINT) AS bin, sum(CASE WHEN large THEN 0 ELSE size END) AS words, any_value(rate - floor(rate)) AS part, any_value(ss) AS ss,
-  sum(CASE WHEN large AND u < rate - floor(rate) THEN size ELSE 0 END) AS drawn FROM u GROUP BY ALL),
-k AS (SELECT source, bin, part * ss - sum(drawn) OVER (PARTITION BY source) AS lacks, sum(words) OVER (PARTITION BY source ORDER BY bin ROWS UNBOUNDED PRECEDING) AS so_far FROM n),
-c AS (SELECT source, (bin + 1) / {float(mixing.BINS)} AS bound, abs(lacks - so_far) AS miss FROM k UNION ALL SELECT DISTINCT source, 0.0, abs(lacks) FROM k),
-bo AS (SELECT source, bound FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, bound) = 1)
+n AS (SELECT source, digits, head, CAST(floor(u * {mixing.BINS}) AS BIGINT) AS bin, count(*) AS n, any_value(rate - floor(rate)) AS part FROM u GROUP BY source, digits, head, bin),
+k AS (SELECT *, sum(n) OVER (x ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto, part * sum(n) OVER x AS need FROM n WINDOW x AS (PARTITION BY source, digits, head)),
+bo AS (SELECT source, digits, head, coalesce(min((bin + (need - (upto - n)) / n) / {float(mixing.BINS)}) FILTER (upto >= need AND upto - n < need), 0.0) AS bound FROM k GROUP BY source, digits, head)
 SELECT doc_id, CAST(size AS BIGINT) AS size, ss AS source_size, target, CAST(size * c AS BIGINT) AS taken, c AS copies
-FROM (SELECT u.*, CAST(floor(rate) AS BIGINT) + CAST(u < CASE WHEN large THEN rate - floor(rate) ELSE bound END AS BIGINT) AS c FROM u JOIN bo ON u.source IS NOT DISTINCT FROM bo.source)
+FROM (SELECT u.*, CAST(floor(rate) AS BIGINT) + CAST(u < bound AS BIGINT) AS c FROM u JOIN bo ON u.source IS NOT DISTINCT FROM bo.source AND u.digits = bo.digits AND u.head = bo.head)
 """
 
 

@@ -56,20 +56,35 @@ def test_taken_comes_near_target(spark):
         assert abs(r.taken - r.target) < 0.01 * r.target
 
 
-def test_few_documents_and_one_huge_one_come_near_target(spark):
+def test_few_documents_and_one_huge_one(spark):
     rows = [(s * 100 + i, "w " * (3000 if i == 0 else 40 + 7 * i % 50), f"s{s}") for s in range(12) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     p = docs.select("doc_id", "source").join(mixing.plan(docs), "doc_id").toPandas()
-    for _, g in p.groupby("source"):
-        assert abs(g["taken"].sum() - g["target"].iloc[0]) < 0.05 * g["target"].iloc[0]
+    # The huge one is drawn whole or not at all; the others come near the fraction by themselves.
+    rest = p[p["size"] < 3000]
+    for _, g in rest.groupby("source"):
+        want = g["target"].iloc[0] * g["size"].sum() / g["source_size"].iloc[0]
+        assert abs(g["taken"].sum() - want) < 0.06 * want
     assert (p["taken"] <= 3 * p["size"]).all()
 
 
-def test_calibrated_bounds_are_near_the_fraction(spark):
-    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 17 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
-    narrow, _ = mixing._narrow(docs, "doc_id", "text", "source", mixing.SEED)
-    for r in mixing.rates(narrow).collect():
-        assert abs(r.bound - r.part) < 0.03
+def test_every_document_is_drawn_with_the_probability_of_the_fraction(spark):
+    """Frequencies over 200 seeds: of the lone huge document, of those of a full stratum, and of copies."""
+    rows = [(i, "w " * (700 if i == 0 else 20 + i % 3), "ab"[i % 2]) for i in range(24)] + [(30 + i, "same text", "b") for i in range(6)]
+    docs = spark.createDataFrame([(seed * 100 + i, i, seed, t, f"{s}{seed:03}") for seed in range(200) for i, t, s in rows], "doc_id long, i long, seed long, text string, source string")
+    # 400 sources of one mix; ids differ, so each source is drawn anew.
+    p = docs.select("doc_id", "i").join(mixing.plan(docs), "doc_id")
+    p = p.withColumn("rate", F.col("target") / F.col("source_size")).withColumn("part", F.col("rate") - F.floor("rate")).withColumn("drawn", F.col("copies") - F.floor("rate"))
+    per = p.groupBy("i").agg(F.sum("drawn").alias("got"), F.sum("part").alias("want"), F.sum(F.col("part") * (1 - F.col("part"))).alias("var")).collect()
+    assert len(per) == 30
+    assert all(abs(r.got - r.want) <= 3.3 * r["var"] ** 0.5 + 1e-9 for r in per)
+    total = sum(r.got for r in per), sum(r.want for r in per), sum(r["var"] for r in per) ** 0.5
+    assert abs(total[0] - total[1]) <= 3 * total[2]
+
+
+def test_a_fraction_of_zero_draws_nothing(spark):
+    docs = spark.createDataFrame([(i, "a b c", "x") for i in range(50)], "doc_id long, text string, source string")
+    assert {r.copies for r in mixing.plan(docs).collect()} == {1}
 
 
 def test_empty_table(spark):
