@@ -12,10 +12,13 @@ diagonal that holds every window of a template is a verbatim occurrence.
 The templates are a fixed table of a few hundred windows, so that side is broadcast; the windows of the corpus are
 never shuffled, only the hits and one line per document are.
 
+Hash hits are only candidates: before they vote, the words of the window are compared with those of the template.
+
 Defined results: a null text is empty: no words, no labels, score 0.  Documents are told apart by id and text, so null
-and repeated ids are safe, and every input row gets its own result row.  Words are compared through 64-bit
-hashes of three words.  Lower-casing uses Unicode rules; the only letters outside ASCII that become ASCII letters
-are the Kelvin sign and the dotted capital I, which make no template word out of another word.
+and repeated ids are safe, and every input row gets its own result row, in chunks where very many rows are equal.  Lower-casing is that of A-Z
+alone, so no other letter makes a template word.  A very long text is one row of an array of hashes of its words, 8 bytes each, and its windows
+aren't shuffled.  Where labels or spans tie, all are given, sorted; where diagonals tie, the lowest comes first.  An empty table gives an empty
+result; further columns of the input are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from pyspark.sql.window import Window
 
 from .common import text_of
 
+#: Rows that one array holds while equal rows are spread out again.
+CHUNK = 65_536
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 #: Separates words: ASCII but digits and lower-case letters.
 SPLIT_RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
@@ -69,7 +76,7 @@ def _windows(spark: SparkSession) -> DataFrame:
             raise ValueError(f"template {label} has {n} windows")
         rows += [(tid, base, label, len(w), n, j, *w[j : j + K]) for j in range(n)]
     t = spark.createDataFrame(rows, "tid int, base boolean, label string, t_words int, t_grams int, tpos int, a string, b string, c string")
-    return t.withColumn("h", F.xxhash64("a", "b", "c")).drop("a", "b", "c")
+    return t.select("*", F.xxhash64("a", "b", "c").alias("h"), F.array("a", "b", "c").alias("t_gram")).drop("a", "b", "c")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gap: int = GAP, threshold: float = THRESHOLD) -> DataFrame:
@@ -80,15 +87,20 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gap: int
     """
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("t"))
-    d = d.select("id", F.xxhash64("t").alias("th"), F.filter(F.split(F.lower("t"), SPLIT_RE), lambda x: x != "").alias("w"))
+    d = d.select("id", F.xxhash64("t").alias("th"), F.filter(F.split(F.translate("t", _UPPER, _LOWER), SPLIT_RE), lambda x: x != "").alias("w"))
     grams = F.when(
         F.size("w") >= K,
         F.slice(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))), F.lit(1), F.size("w") - (K - 1)),
     ).otherwise(F.array().cast("array<bigint>"))
-    d = d.select("id", "th", F.size("w").cast("long").alias("n_words"), grams.alias("g"))
-    # One scan does for both: position 0 stands for the document itself, windows start at position 1.
-    d = d.select("id", "th", "n_words", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), "g")).alias("at", "h"))
-    hits = d.join(F.broadcast(_windows(spark)), "h", "left").where((F.col("at") == 0) | F.col("tid").isNotNull())
+    d = d.select("id", "th", "w", F.size("w").cast("long").alias("n_words"), grams.alias("g"))
+    # Only windows whose hash is that of a template leave the row.  One scan does for both: position 0 stands for the document itself.
+    known = [F.xxhash64(*[F.lit(x) for x in w[j : j + K]]) for _, _, _, w in templates() for j in range(len(w) - K + 1)]
+    d = d.select("id", "th", "n_words", "w", "g", F.array_compact(F.transform("g", lambda h, i: F.when(h.isin(known), i + 1))).alias("p"))
+    places = F.transform("p", lambda i: F.struct(i.alias("at"), F.get("g", i - 1).alias("h"), F.slice("w", i, K).alias("gram")))
+    itself = F.struct(F.lit(0).alias("at"), F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("array<string>").alias("gram"))
+    d = d.select("id", "th", "n_words", F.explode(F.concat(F.array(itself), places)).alias("x")).select("id", "th", "n_words", "x.*")
+    same = (F.col("h") == F.col("_h")) & (F.col("gram") == F.col("t_gram"))
+    hits = d.join(F.broadcast(_windows(spark).withColumnRenamed("h", "_h")), same, "left").where((F.col("at") == 0) | F.col("tid").isNotNull())
     votes = hits.groupBy(
         "id", "th", "n_words", F.coalesce("tid", F.lit(-1)).alias("tid"), F.when(F.col("at") > 0, F.col("at") - 1 - F.col("tpos")).otherwise(0).alias("diag")
     ).agg(
@@ -141,6 +153,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gap: int =
         F.coalesce(F.max(F.when(is_span, F.col("score"))), F.lit(0.0)).alias("score"),
         F.sum(F.when(~is_span, F.col("n_rows")).otherwise(0)).alias("n_rows"),
     )
-    return per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))).select(
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_rows") - 1) / CHUNK).cast("long")))
+    per = per.withColumn("chunk", chunks).withColumn("copies", F.least(F.col("n_rows") - F.col("chunk") * CHUNK, F.lit(CHUNK)).cast("int"))
+    return per.withColumn("copy", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )

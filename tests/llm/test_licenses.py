@@ -1,5 +1,8 @@
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from kinfold.llm import licenses
 
 from .helpers import documents, empty
@@ -44,5 +47,33 @@ def test_base_labels_stay_among_labels(spark):
         assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""}
 
 
+def test_only_ascii_letters_are_lowered(spark):
+    texts = ["x this wor\u212a is licensed under a creative commons attribution 4 0 international license", "under the m\u0130t license", "UNDER THE MIT LICENSE"]
+    rows = {r.doc_id: r for r in licenses.scan(documents(spark, texts, null_ids=False, repeat=False)).collect()}
+    # Two of the notice's eleven windows hold a word that isn't "work".
+    assert (rows[0].labels, rows[0].score) == ("cc-by", pytest.approx(9 / 11))
+    assert (rows[1].labels, rows[1].n_base, rows[2].labels, rows[2].n_base) == ("", 0, "mit", 1)
+    assert [tuple(rows[i])[:6] for i in range(3)] == [(i, *brute(t)) for i, t in enumerate(texts)]
+
+
+def test_words_are_compared_and_not_only_hashes(spark, monkeypatch):
+    class Same:
+        def __getattr__(self, name):
+            return (lambda *c: F.lit(7).cast("long")) if name == "xxhash64" else getattr(F, name)
+
+    docs = documents(spark, ["no license here at all my friend", "so it is under the mit license"], null_ids=False, repeat=False).withColumn("n", F.lit(1))
+    want = [tuple(r)[:6] for r in licenses.scan(docs).orderBy("doc_id").collect()]
+    monkeypatch.setattr(licenses, "F", Same())
+    # Every window now has the hash of every other, and both documents the same digest, but their ids differ.
+    assert [tuple(r)[:6] for r in licenses.scan(docs).orderBy("doc_id").collect()] == want
+
+
+def test_many_equal_rows_come_back_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "CHUNK", 7)
+    docs = spark.range(100).select(F.lit(5).cast("long").alias("doc_id"), F.lit("under the mit license").alias("text"))
+    got = licenses.scan(docs).collect()
+    assert len(got) == 100 and {tuple(r)[:6] for r in got} == {(5, *brute("under the mit license"))}
+
+
 def test_empty_table(spark):
     assert licenses.scan(empty(spark)).count() == 0
