@@ -1,20 +1,26 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by id.  The split points come from the ids with the smallest hashes, so they depend on
-the rows alone; a shard is written by one task, which rolls to a new file when the compressed size of the current one
-reaches ``roll_bytes``.  Headers and digests are made anew from the payload.  Every record is a gzip member of
-its own with no time stamp, so the same rows give the same bytes.
+Records are range-sorted by id.  The split points come from ids chosen by their hashes, so they depend on
+the rows alone; there is a shard for every ``shard_bytes`` of payload, however many that makes.  A shard is written by one task, which rolls to
+a new file when the compressed size of the current one reaches ``roll_bytes``.  Headers and digests are made anew from the payload.
+Every record is a gzip member of its own with no time stamp, so the same rows give the same bytes.
 
-Tasks write under a temporary folder of their own attempt.  What the attempts that count have written is listed in a
-table; only then are the files renamed, the manifest is written under a temporary name, and renamed last.  An archive without a manifest
-is unfinished and can be removed.  A lost executor costs a retry in another temporary folder.
+Commit.  Tasks write under a temporary folder of their own attempt, in a folder of the run.  What the attempts that count have written is
+listed in a table.  From its names and digests the run gets its name, so the same rows have the same one.  Tasks move the files to
+``<out>/<run>/``, each of which succeeds when repeated; the listing is written as the run's manifest table; last, the pointer ``manifest.json``
+that names the run is replaced in one step.  Readers only follow the pointer, so an archive is the old one or the new one, and a crash at any
+place is mended by running again.  The run that the pointer named before is then removed, as are the run's temporary files and nobody else's.
+Nothing grows on the driver but ``SPLIT_SAMPLE`` ids a shard (at 100 TB 800,000 shards and 100 MB).
+
+``out`` must be a URI that both Spark and Arrow's file systems open; ``s3a`` is passed to the latter as ``s3``.
 
 Of records with equal payloads of at least ``least`` bytes, that with the largest id is the response and the others are
 revisits of it.  Copies are found on (digest, length) with map-side combine; payloads of one digest never meet in a task.
 
 Defined results: a null payload is empty; a null id sorts first and isn't named in the record; a null id is never referred to, so copies
 that only have null ids are all responses; rows that share the largest id of their payload are all responses; a null url
-becomes ``urn:page:<id>``; an empty table gives an archive of no files; further columns are ignored.
+becomes ``urn:page:<id>``; a very long payload is one record, held by one task; an empty table gives an archive of no files; further
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,22 +33,27 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remove
+from .common import cut, exists, remove
 
 LEAST = 1000
 ROLL_BYTES = 1 << 28
-SHARD_BYTES = 1 << 24
-MAX_SHARDS = 4096
-#: Ids for each shard that the split points are taken from, so 262,144 at most.
-SPLIT_SAMPLE = 64
+SHARD_BYTES = 1 << 27
+#: Ids for each shard that the split points are taken from, in expectation.
+SPLIT_SAMPLE = 16
+#: Files that a task reads at least, once there are more files than these tasks.
+READ_TASKS = 20_000
+POINTER, MANIFEST = "manifest.json", "manifest.parquet"
 LEVEL = 6
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FILES = "shard int, part int, name string, temporary string, n_records long, n_bytes long, sha256 string"
+_MANIFEST = _FILES.replace("temporary string, ", "")
 _RECORDS = "file string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -91,10 +102,10 @@ def _member(data: bytes, level: int) -> bytes:
 def _store(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri("s3:" + uri.removeprefix("s3a:") if uri.startswith("s3a:") else uri)
 
 
-def _writer(out: str, roll_bytes: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writer(out: str, run: str, roll_bytes: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = base = attempt = stream = None
         shard, part, files, same, last_id = None, 0, [], 0, object()
@@ -113,7 +124,7 @@ def _writer(out: str, roll_bytes: int, level: int) -> Callable[[Iterator[pa.Reco
         for b in batches:
             if store is None:
                 store, base = _store(out)
-                attempt = f"_temporary/{uuid.uuid4().hex}"
+                attempt = f"_temporary/{run}/{uuid.uuid4().hex}"
                 store.create_dir(f"{base}/{attempt}", recursive=True)
             columns = [b.column(i) for i in range(b.num_columns)]
             for row in zip(*columns, strict=True):
@@ -135,21 +146,44 @@ def _writer(out: str, roll_bytes: int, level: int) -> Callable[[Iterator[pa.Reco
     return write
 
 
-def _shard_of(column: Column, splits: list[int]) -> Column:
-    """How many split points lie at or below a value; looked up in two levels, so in about 2 * sqrt(n) steps."""
-    width = max(1, round(len(splits) ** 0.5))
-    groups = [splits[i : i + width] for i in range(0, len(splits), width)] or [[]]
-    whole = F.array(*[F.lit(g[-1]).cast("long") for g in groups[:-1]]).cast("array<bigint>")
-    rows = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]).cast("array<bigint>") for g in groups])
-    at = F.size(F.filter(whole, lambda x: x <= column))
-    return (at * width + F.size(F.filter(F.get(rows, at), lambda x: x <= column))).cast("int")
+def _shards(splits: np.ndarray) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    """How many split points lie at or below an id."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(np.searchsorted(splits, s.to_numpy(np.int64), side="right").astype(np.int32))
+
+    return run
+
+
+def _mover(out: str, run: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Moves files to their names in the run; what was moved before, by this or another attempt or run, is left."""
+    from pyarrow import fs
+
+    gone = fs.FileType.NotFound
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            store, base = _store(out)
+            store.create_dir(f"{base}/{run}", recursive=True)
+            for name, temporary in zip(b.column("name").to_pylist(), b.column("temporary").to_pylist(), strict=True):
+                there, source = f"{base}/{run}/{name}", f"{base}/{temporary}"
+                if store.get_file_info(there).type == gone:
+                    try:
+                        store.move(source, there)
+                    except OSError:
+                        if store.get_file_info(there).type == gone:
+                            raise
+            yield b.select(["name"])
+
+    return move
 
 
 def write_archives(
     pages: DataFrame, out: str, id_col: str = "page_id", url: str = "url", payload: str = "html",
     least: int = LEAST, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, level: int = LEVEL,
 ) -> dict:
-    """Write ``pages`` as WARC files under the URI ``out`` and return the manifest."""
+    """Write ``pages`` as WARC files under the URI ``out``, in place of what is there, and return the pointer: run, n_files, n_records, n_bytes."""
     spark = pages.sparkSession
     d = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).alias("payload"))
     d = d.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("n", F.octet_length("payload").cast("long"))
@@ -162,35 +196,59 @@ def write_archives(
     # Written, so that the planner knows its size: payloads only move by digest where it is too large to broadcast.
     copies, copied = cut(copies.unionByName(alone).distinct(), "copies")
     total = narrow.agg(F.sum("n") + F.count("n") * 512).first()[0] or 0
-    shards = max(1, min(MAX_SHARDS, -(-total // shard_bytes)))
-    sample = sorted(r[0] for r in narrow.where(F.col("id").isNotNull()).select("id").orderBy(F.xxhash64("id"), "id").limit(SPLIT_SAMPLE * shards).collect()) if shards > 1 else []
-    splits = sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
+    shards = max(1, -(-total // shard_bytes))
+    splits = np.zeros(0, np.int64)
+    if shards > 1:
+        share = SPLIT_SAMPLE * shards / max(1, narrow.count())
+        u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+        sample = np.sort(narrow.where(F.col("id").isNotNull() & (u < share)).select("id").distinct().toPandas()["id"].to_numpy(np.int64))
+        splits = np.unique(sample[len(sample) * np.arange(1, shards) // shards]) if len(sample) else splits
     d = d.join(copies, ["digest", "n"], "left")
     refers = F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
-    d = d.select(F.coalesce(_shard_of(F.col("id"), splits), F.lit(0)).alias("shard"), "id", "url", "payload", refers.alias("refers_to"))
+    shard = F.pandas_udf(_shards(splits), "int")(F.coalesce("id", F.lit(-(1 << 63)))) if len(splits) else F.lit(0)  # type: ignore[call-overload]
+    d = d.select(shard.alias("shard"), "id", "url", "payload", refers.alias("refers_to"))
     d = d.repartitionById(len(splits) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "refers_to", "url", "payload")
     d = d.select("shard", "id", "url", F.col("payload").cast("binary").alias("payload"), "refers_to")
-    written, listing = cut(d.mapInArrow(_writer(out, roll_bytes, level), _FILES), "archive-files")
-    # A row per file, of up to roll_bytes each.
-    files = [r.asDict() for r in written.orderBy("shard", "part").collect()]
-    _commit(spark, out, files)
-    remove(spark, at, listing, copied)
-    return {"files": files}
-
-
-def _commit(spark: SparkSession, out: str, files: list[dict]) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path(out))
-    for f in files:
-        if not fs.rename(path(f"{out}/{f.pop('temporary')}"), path(f"{out}/{f['name']}")):
-            raise RuntimeError(f"can't commit {f['name']}")
-    fs.delete(path(f"{out}/_temporary"), True)
-    stream = fs.create(path(f"{out}/_manifest.json.tmp"), True)
-    stream.write(bytearray(json.dumps({"files": files}, sort_keys=True).encode()))
+    work = uuid.uuid4().hex
+    written, listing = cut(d.mapInArrow(_writer(out, work, roll_bytes, level), _FILES), "archive-files")
+    pointer = _commit(spark, out, written)
+    remove(spark, f"{out}/_temporary/{work}", at, listing, copied)
+    everyone = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_temporary")
+    fs = everyone.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(everyone) and not len(fs.listStatus(everyone)):
+        fs.delete(everyone, False)
+    return pointer
+
+
+def _commit(spark: SparkSession, out: str, files: DataFrame) -> dict:
+    n, n_records, n_bytes, digest = files.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("n_records"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("name", "sha256")), F.lit(0))
+    ).first()
+    pointer = {"run": f"run-{digest & (1 << 64) - 1:016x}-{n}", "n_files": n, "n_records": n_records, "n_bytes": n_bytes}
+    before = _pointer(spark, out)
+    if n:
+        files.select("name", "temporary").repartition(max(1, min(n, READ_TASKS))).mapInArrow(_mover(out, pointer["run"]), "name string").write.format("noop").mode("overwrite").save()
+    files.drop("temporary").orderBy("shard", "part").write.mode("overwrite").parquet(f"{out}/{pointer['run']}/{MANIFEST}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    temporary, final = path(f"{out}/_{POINTER}.{uuid.uuid4().hex}"), path(f"{out}/{POINTER}")
+    stream = final.getFileSystem(conf).create(temporary, True)
+    stream.write(bytearray(json.dumps(pointer, sort_keys=True).encode()))
     stream.close()
-    if not fs.rename(path(f"{out}/_manifest.json.tmp"), path(f"{out}/manifest.json")):
-        raise RuntimeError("can't commit the manifest")
+    # The one rename that replaces: after it the new archive is the archive.
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(temporary, final, options)
+    if before and before["run"] != pointer["run"]:
+        remove(spark, f"{out}/{before['run']}")
+    return pointer
+
+
+def _pointer(spark: SparkSession, out: str) -> dict | None:
+    if not exists(spark, f"{out}/{POINTER}"):
+        return None
+    return json.loads(spark.read.text(f"{out}/{POINTER}", wholetext=True).first()[0])
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -241,9 +299,15 @@ def _reader(out: str, rows: int = 2000) -> Callable[[Iterator[pa.RecordBatch]],
     return read
 
 
+def manifest(spark: SparkSession, out: str) -> tuple[dict, DataFrame]:
+    """The pointer of the committed archive and its files."""
+    pointer = _pointer(spark, out)
+    if pointer is None:
+        raise FileNotFoundError(f"no archive was committed to {out}")
+    return pointer, spark.read.schema(_MANIFEST).parquet(f"{out}/{pointer['run']}/{MANIFEST}")
+
+
 def read_archives(spark: SparkSession, out: str) -> DataFrame:
     """One row per record of the files that the manifest lists, checked against their digests."""
-    text = spark.read.text(f"{out}/manifest.json", wholetext=True).first()[0]
-    names = [(f["name"],) for f in json.loads(text)["files"]]
-    files = spark.createDataFrame(names, "name string")
-    return files.repartition(max(1, len(names))).mapInArrow(_reader(out), _RECORDS)
+    pointer, files = manifest(spark, out)
+    return files.select("name").repartition(max(1, min(pointer["n_files"], READ_TASKS))).mapInArrow(_reader(f"{out}/{pointer['run']}"), _RECORDS)
