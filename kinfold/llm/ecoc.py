@@ -12,7 +12,8 @@ sample of ``sample`` labelled documents for each language, in expectation; the n
 Prediction is one pass over whole texts without a shuffle, in blocks, so a long text needs no more memory.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing was learned; one learned language is
-predicted for every other text; ids may be null or repeat, and rows with a null id are not learned from; an empty table
+predicted for every other text; where the two nearest codewords tie exactly, ``predict`` gives the first language in the order of names and
+flags it, and ``keep_known`` rejects it; ids may be null or repeat, and rows with a null id are not learned from; an empty table
 gives an empty result; further columns are ignored by ``predict`` and kept by ``keep_known``.
 """
 
@@ -36,8 +37,6 @@ BUCKETS = 1 << 16
 BLOCK = 1 << 20
 SMOOTHING = 0.5
 AMBIGUOUS = 0.1
-#: Margin of the best language below which ``keep_known`` rejects; ambiguous documents above it are flagged, not dropped.
-TIE = 0.01
 UNKNOWN = "und"
 _ALL_SPLITS = 6
 
@@ -220,13 +219,13 @@ def _verdicts(shared) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
         model = Model(**shared.value)
         for s in batches:
             got = [model.predict(t) for t in s]
-            yield pd.Series([lang != UNKNOWN and lead >= TIE for lang, _, lead in got], dtype=bool)
+            yield pd.Series([lang != UNKNOWN and (lead > 0 or score == 1.0) for lang, score, lead in got], dtype=bool)
 
     return run
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents that have a language, and not two that tie for it, with all their columns."""
+    """The documents that have a language, and not two that tie for it exactly, with all their columns."""
     (ok,) = fresh(docs, "known")
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     udf = F.pandas_udf(_verdicts(shared), "boolean")  # type: ignore[call-overload]

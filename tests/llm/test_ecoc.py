@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -30,6 +32,56 @@ def test_codewords_split_and_differ(n):
         assert code.shape[1] == 7
 
 
+def brute_decode(model, text):
+    """The nearest codeword, from the definition: trigram by trigram, bit by bit, language by language."""
+    raw = f" {text.lower()} ".encode()
+    b = [c - 96 if 97 <= c <= 122 else c if c >= 128 else 0 for c in raw]
+    buckets = [((x << 16 | y << 8 | z) * 2654435761 % 2**32) >> 16 for x, y, z in zip(b, b[1:], b[2:])]
+    margins = [model.slope[k] * sum(float(model.weights[i, k]) for i in buckets) / len(buckets) + model.offset[k] for k in range(model.code.shape[1])]
+    losses = [
+        sum(model.trust[k] * math.log1p(math.exp(-int(model.code[m, k]) * margins[k])) for k in range(len(margins))) / sum(model.trust)
+        for m in range(len(model.languages))
+    ]
+    p = [math.exp(-(x - min(losses)) * len(margins)) for x in losses]
+    best = min(range(len(losses)), key=lambda m: losses[m])
+    return model.languages[best], p[best] / sum(p)
+
+
+def test_codewords_of_the_registered_fit_are_learned_and_decoded_as_defined(spark):
+    """Counts, weights, curves and decoding against plain loops, on every text."""
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = ecoc.fit(docs)
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = {lang: Counter() for lang in model.languages}
+    for t, lang in learned:
+        b = [c - 96 if 97 <= c <= 122 else c if c >= 128 else 0 for c in f" {t.lower()} ".encode()]
+        counts[lang].update(((x << 16 | y << 8 | z) * 2654435761 % 2**32) >> 16 for x, y, z in zip(b, b[1:], b[2:]))
+    floor = ecoc.SMOOTHING / sum(n for c in counts.values() for n in c.values())
+    for k in range(model.code.shape[1]):
+        for bucket in random.Random(k).sample(sorted(set().union(*counts.values())), 40):
+            side = {}
+            for sign in (1, -1):
+                own = [lang for m, lang in enumerate(model.languages) if model.code[m, k] == sign]
+                side[sign] = sum(counts[x][bucket] / sum(counts[x].values()) for x in own) / len(own)
+            want = math.log(side[1] + floor) - math.log(side[-1] + floor)
+            assert model.weights[bucket, k] == pytest.approx(want, rel=1e-3, abs=1e-4)
+    got = {r.doc_id: r for r in ecoc.predict(docs, model).collect()}
+    for i, t, _ in rows:
+        lang, score = brute_decode(model, t)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-6)
+
+
+def test_only_exact_ties_are_rejected(spark):
+    code = ecoc.codewords(2)
+    for offset, kept in ((0.0, 0), (1e-6, 1)):
+        model = ecoc.Model(["aa", "bb"], code, np.zeros((ecoc.BUCKETS, 1), np.float32), np.ones(1), np.full(1, offset), np.ones(1))
+        docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+        assert ecoc.keep_known(docs, model).count() == kept
+        r = ecoc.predict(docs, model).first()
+        assert (r.lang_pred, r.ambiguous) == ("aa", True)
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 7])
 def test_held_out_accuracy(spark, n):
     docs = spark.createDataFrame(corpus(n), "doc_id long, text string, lang string")
