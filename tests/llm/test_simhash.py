@@ -5,7 +5,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from kinfold.llm import components, simhash
+from kinfold.llm import common, components, simhash
 
 from .helpers import documents, empty
 
@@ -93,6 +93,42 @@ def test_large_group_of_copies_makes_no_pairs(spark):
     assert tuple(x) == (1, 0)
 
 
+def test_rounds_of_components_are_told_apart_beyond_2_to_24_edges(spark):
+    e = spark.range((1 << 24) + 5).select(F.col("id").alias("u"), F.lit(-1).cast("long").alias("v"))
+    n, digest = components.state_of(e)
+    assert n == (1 << 24) + 5 and digest != 0
+    assert components.state_of(e.where("u <> 7")) != (n, digest)
+    assert components.state_of(e.repartition(3)) == (n, digest)
+
+
+def test_components_of_a_large_star_and_a_long_chain(spark):
+    star = spark.range(1, 2_000_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    got = components.connected_components(star).agg(F.count("id"), F.countDistinct("component"), F.max("component")).first()
+    assert tuple(got) == (2_000_000, 1, 0)
+    chain = spark.range(3_000).select((F.col("id") * 7919 % 3001).alias("a"), ((F.col("id") + 1) * 7919 % 3001).alias("b"))
+    got = components.connected_components(chain).agg(F.count("id"), F.countDistinct("component"), F.max("component")).first()
+    assert tuple(got) == (3_001, 1, 0)
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    rows = spark.range(5_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("m"))
+    got = common.join_spread(rows, per, "k", "n", 5_000)
+    assert got.columns == ["k", "x", "m"]
+    want = rows.join(per.drop("n"), "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    few = common.join_spread(rows, per.where("m < 100"), "k", "n", 5_000, "left")
+    assert few.count() == 5_000 and few.where("m is not null").count() == per.where("m < 100").agg(F.sum("n")).first()[0]
+
+
+def test_scratch_tables_are_removed(spark):
+    with common.scratch(spark) as keep:
+        a, path = common.cut(spark.range(3), "a")
+        _, other = common.cut(spark.range(3), "b")
+        keep.add(path)
+    assert a.count() == 3 and not common.exists(spark, other)
+
+
 def test_empty_table(spark):
     assert simhash.groups(empty(spark)).count() == 0
     assert simhash.dedup(empty(spark)).count() == 0

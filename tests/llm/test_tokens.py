@@ -9,6 +9,7 @@ import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinfold.llm import byte_pieces, token_cache
@@ -70,6 +71,28 @@ def test_stored_counts_are_used(spark, tmp_path):
     assert token_cache.count_tokens(docs, cache).first().n_tokens == 77
 
 
+def test_each_missing_digest_is_encoded_once(spark, tmp_path):
+    """Repeated rows and null ids; by the small and by the large way of choosing texts."""
+    rows = [(5, "again and again")] * 50 + [(None, "no id")] * 20 + [(None, "again and again")] + [(i, f"text {i % 30}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for limit in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            cache = f"file://{tmp_path}/{limit}"
+            assert token_cache.count_tokens(docs, cache).count() == len(rows)
+            keyed = docs.selectExpr("doc_id id", "unhex(sha2(text, 256)) digest")
+            classes = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+            for total in (len(rows), 1 << 30):  # all digests hot, none hot
+                none = token_cache.cached(spark, f"{cache}-none")
+                chosen = token_cache.chosen_texts(docs, classes, total, none, "doc_id", "text")
+                sent = chosen.mapInPandas(token_cache._encoder(token_cache.VOCABULARY, token_cache.RANKS), token_cache._SCHEMA)
+                assert sent.count() == 32 == sent.select("digest").distinct().count()
+            warm = token_cache.chosen_texts(docs, classes, len(rows), token_cache.cached(spark, cache), "doc_id", "text")
+            assert warm.count() == 0 and "Exchange" not in warm._jdf.queryExecution().executedPlan().toString().replace("Exchange SinglePartition", "")
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pieces_equal_rank_encoder(spark, encoding):
     docs = documents(spark, [*TEXTS, *(t for t in ODD if len(t) < 10**5)])
     for r in byte_pieces.encode(docs.select("doc_id", "text"), with_ids=True).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
