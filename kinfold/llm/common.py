@@ -35,23 +35,30 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/kinfold/{label}-{uuid.uuid4().hex}"
-
-
 #: Scratch tables of this driver that haven't been removed.
 _made: list[str] = []
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    _made.append(f"{scratch_root(spark)}/kinfold/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again: lineage ends in files that outlive executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def settled(df: DataFrame, label: str, keep: set[str]) -> DataFrame:
+    """A result that no longer needs the tables it was made from, once written; ``keep`` is that of the ``scratch`` it ends."""
+    out, path = cut(df, label)
+    keep.add(path)
+    return out
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[set[str]]:
     """Removes the scratch tables that were made inside it, but for the paths that are put into the set it gives."""

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh
+from .common import cut, fresh, scratch, settled
 
 #: Rows for each of which there is a bucket.
 BUCKET_ROWS = 1 << 18
@@ -124,14 +124,16 @@ def shard(docs: DataFrame, shards: int = 8, key: int = 20260101, id_col: str = "
         F.crc32(t.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.col(f"`{text}`")).alias("th"),
     )
-    p = place_of_row(numbered(d, ["id", "size", "text_crc32", "th"]), "row", "n_total", key)
-    return p.select(
-        F.col("id").alias(id_col),
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        F.pmod("place", F.lit(shards)).cast("int").alias("shard"),
-        F.floor(F.col("place") / shards).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        F.col("row").alias("global_row"),
-    )
+    with scratch(docs.sparkSession) as keep:
+        p = place_of_row(numbered(d, ["id", "size", "text_crc32", "th"]), "row", "n_total", key)
+        p = p.select(
+            F.col("id").alias(id_col),
+            "size",
+            "text_crc32",
+            F.lit("rows").alias("law"),
+            F.pmod("place", F.lit(shards)).cast("int").alias("shard"),
+            F.floor(F.col("place") / shards).cast("long").alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"),
+            F.col("row").alias("global_row"),
+        )
+        return settled(p, "sharded", keep)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, n_words_of, remove, text_of
+from .common import cut, fresh, n_words_of, remove, scratch, settled, text_of
 
 SEED = "mix-1"
 MAX_REPEAT = 3
@@ -110,11 +110,12 @@ def _copies(u: Column, whole: Column, bound: Column) -> Column:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Id, size, source_size, target, copies and taken for each document."""
-    d, _ = _narrow(docs, id_col, text, source, seed)
-    t = rates(d, max_repeat)
-    p = d.join(t, d["source"].eqNullSafe(t["_kf_source"]) & (d["stratum"] == t["_kf_stratum"]))
-    copies = _copies(F.col("u"), F.col("whole"), F.col("bound"))
-    return p.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    with scratch(docs.sparkSession) as keep:
+        d, _ = _narrow(docs, id_col, text, source, seed)
+        t = rates(d, max_repeat)
+        p = d.join(t, d["source"].eqNullSafe(t["_kf_source"]) & (d["stratum"] == t["_kf_stratum"]))
+        copies = _copies(F.col("u"), F.col("whole"), F.col("bound"))
+        return settled(p.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")), "mix", keep)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, join_spread, remove, text_of
+from .common import cut, fresh, join_spread, scratch, settled, text_of
 from .components import connected_components
 
 WIDTH = 3
@@ -99,24 +99,24 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> Dat
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """One row per input row: id, th (hash of the text), fp, component_id (smallest id of its group) and root, which names the group."""
-    spark = docs.sparkSession
-    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    d = with_fingerprint(d, "text").select("id", F.xxhash64(text_of("text")).alias("th"), "fp")
-    d, _ = cut(d, "fingerprints")
-    classes, path = cut(d.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    comp = connected_components(links(classes.select("fp"), radius, segments))
-    linked = comp.withColumnRenamed("id", "fp").join(classes, "fp")
-    # A component of many fingerprints is a group like any other: its members meet its smallest id without meeting in a task.
-    first = linked.groupBy("component").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
-    named = join_spread(linked, first, "component", "n", total).select("fp", "component", "first")
-    named = classes.join(named, "fp", "left").select(
-        "fp", "copies", F.coalesce("component", "fp").alias("root"),
-        F.when(F.col("component").isNotNull(), F.col("first")).otherwise(F.col("rep")).alias("component_id"),
-    )
-    named, _ = cut(named, "groups")
-    remove(spark, path)
-    return join_spread(d, named, "fp", "copies", total).select("id", "th", "fp", "root", "component_id")
+    with scratch(docs.sparkSession) as keep:
+        d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+        d = with_fingerprint(d, "text").select("id", F.xxhash64(text_of("text")).alias("th"), "fp")
+        d, _ = cut(d, "fingerprints")
+        classes, _ = cut(d.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+        total = classes.agg(F.sum("copies")).first()[0] or 0
+        comp = connected_components(links(classes.select("fp"), radius, segments))
+        linked = comp.withColumnRenamed("id", "fp").join(classes, "fp")
+        # A component of many fingerprints is a group like any other: its members meet its smallest id without meeting in a task.
+        first = linked.groupBy("component").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
+        named = join_spread(linked, first, "component", "n", total).select("fp", "component", "first")
+        named = classes.join(named, "fp", "left").select(
+            "fp", "copies", F.coalesce("component", "fp").alias("root"),
+            F.when(F.col("component").isNotNull(), F.col("first")).otherwise(F.col("rep")).alias("component_id"),
+        )
+        named, _ = cut(named, "groups")
+        out = join_spread(d, named, "fp", "copies", total).select("id", "th", "fp", "root", "component_id")
+        return settled(out, "grouped", keep)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:

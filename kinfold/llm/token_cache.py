@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, exists, join_spread, remove, scratch_path, text_of
+from .common import HOT_SHARE, cut, exists, join_spread, remove, scratch, scratch_path, settled, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -147,14 +147,16 @@ def count_tokens(
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit.  ``cache``: a shared folder; None: a new one for this call."""
     spark = docs.sparkSession
-    cache = cache or scratch_path(spark, "token-cache")
     t = text_of(f"`{text}`")
-    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("digest"))
-    keyed, _ = cut(keyed, "digests")
-    classes, _ = cut(keyed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    fill(docs, classes, total, cache, id_col, text, vocabulary, ranks)
-    counts = cached(spark, cache, vocabulary).join(classes.select("digest", "copies"), "digest")
-    return join_spread(keyed, counts, "digest", "copies", total).select(
-        F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    with scratch(spark) as keep:
+        cache = cache or scratch_path(spark, "token-cache")
+        keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("digest"))
+        keyed, _ = cut(keyed, "digests")
+        classes, _ = cut(keyed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+        total = classes.agg(F.sum("copies")).first()[0] or 0
+        fill(docs, classes, total, cache, id_col, text, vocabulary, ranks)
+        counts = cached(spark, cache, vocabulary).join(classes.select("digest", "copies"), "digest")
+        out = join_spread(keyed, counts, "digest", "copies", total).select(
+            F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
+        )
+        return settled(out, "counts", keep)
