@@ -88,3 +88,30 @@ def test_language_stage_keeps_clean_documents(spark, tmp_path):
     docs = make(spark, tmp_path).where(F.col("doc_id") < 270)
     assert ecoc.keep_known(docs, ecoc.fit(docs)).count() == 270
     assert simhash.groups(docs).count() == 270
+
+
+def test_stages_handle_odd_tables(spark, tmp_path):
+    """Nulls in every column, an empty and a very long text, ties and repeated rows, clashing columns; and no rows at all."""
+    long = " ".join(f"word{i % 900} and{i % 7} more{i * 7919 % 1013}" for i in range(30_000))
+    prose = " ".join(f"alpha{i} beta{i * 3}" for i in range(80))
+    other = " ".join(f"gamma{i} delta{i * 5}" for i in range(80))
+    rows = [(1, prose, "aa", "x"), (1, prose, "aa", "x"), (2, prose, "aa", None), (None, other, None, "x"), (4, None, "aa", "x"), (5, "", None, None), (6, long, "bb", "y"), (7, other, "bb", "y"), (None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, u double, whole long, `row` int, `_kf_key` string, n_words int"
+    for n, part in (("odd", rows), ("none", [])):
+        path = f"{tmp_path}/{n}"
+        docs = spark.createDataFrame([(*r, None, 1, 2.0, 3, 4, "k", 5) for r in part], schema)
+        docs.write.parquet(f"{path}/documents.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        counts = []
+        for name, stage in corpus_pipeline.STAGES:
+            out, _ = cut(stage(spark, docs, path), name)
+            if name != "byte_bpe":
+                assert out.columns == docs.columns and {r["_kf_key"] for r in out.collect()} <= {"k"}
+                docs = out
+            counts.append(out.count())
+        if part:
+            assert counts[:3] == [6, 6, 3]
+            assert sorted(str(r.doc_id) for r in spark.read.parquet(f"{path}/documents.parquet").join(out, "doc_id", "left_semi").select("doc_id").distinct().collect())
+        else:
+            assert counts == [0] * 5
+        assert corpus_pipeline.run(spark, path).count() == counts[-1]
