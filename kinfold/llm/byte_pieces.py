@@ -30,6 +30,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers, and the longest that it does.
 REMEMBER = 300_000
 REMEMBER_CHARS = 64
+#: Rows that are coded at a time.
+SLICE = 256
 #: Field numbers and values of the sentencepiece model format (fixed values).
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 _PIECE, _SCORE, _TYPE = 1, 2, 3
@@ -142,20 +144,24 @@ def _coder(ranks: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], I
         codec = None
         for b in batches:
             codec = codec or Codec(vocabulary_path(ranks), public_tokenizers.PATTERN)
-            counts, ids_hash, back_hash, all_ids = [], [], [], []
-            for t in b.column("t"):
-                ids = codec.encode(t.as_py())
-                counts.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                back_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            # In slices, so that a worker holds the ids of few texts at a time.
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                counts, ids_hash, back_hash, all_ids = [], [], [], []
+                for t in part.column("t"):
+                    ids = codec.encode(t.as_py())
+                    counts.append(len(ids) // 4)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    back_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    if with_ids:
+                        all_ids.append(ids)
+                columns = [part.column("id"), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string())]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    all_ids.append(np.frombuffer(ids, "<u4").astype("i4"))
-            columns = [b.column("id"), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(back_hash, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(all_ids), "<i4"))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return code
 
