@@ -34,7 +34,7 @@ SEED = "mix-1"
 MAX_REPEAT = 3
 WEIGHTS = (1, 2, 3)
 #: Bins of a stratum's draws.
-BINS = 4096
+BINS = 512
 
 
 def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -87,11 +87,12 @@ def rates(narrow: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     Written, so the planner knows its size and broadcasts it only below the session's threshold.
     """
     bins = narrow.groupBy("source", "stratum", F.floor(F.col("u") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    bins, path = cut(bins, "bins")
+    rows = narrow.count()
+    bins, path = cut(bins, "bins", rows)
     t = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), max_repeat)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     t = t.select(F.col("source").alias("_kf_source"), "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("part"))
-    t, sources = cut(t, "sources")
+    t, sources = cut(t, "sources", rows)
     own = Window.partitionBy("source", "stratum")
     b = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(own))
     b = b.join(t, b["source"].eqNullSafe(t["_kf_source"])).withColumn("need", F.col("part") * F.col("all"))
@@ -99,7 +100,7 @@ def rates(narrow: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     at = F.when((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")), (F.col("bin") + (F.col("need") - (F.col("upto") - F.col("n"))) / F.col("n")) / F.lit(float(BINS)))
     keys = ("_kf_source", "source_size", "target", "whole", "part")
     out = b.withColumn("at", at).groupBy(*keys, F.col("stratum").alias("_kf_stratum")).agg(F.coalesce(F.min("at"), F.lit(0.0)).alias("bound"))
-    out, _ = cut(out, "rates")
+    out, _ = cut(out, "rates", rows)
     remove(narrow.sparkSession, path, sources)
     return out
 
@@ -115,7 +116,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
         t = rates(d, max_repeat)
         p = d.join(t, d["source"].eqNullSafe(t["_kf_source"]) & (d["stratum"] == t["_kf_stratum"]))
         copies = _copies(F.col("u"), F.col("whole"), F.col("bound"))
-        return settled(p.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")), "mix", keep)
+        return settled(p.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")), "mix", keep, d.count())
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
