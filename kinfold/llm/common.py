@@ -44,17 +44,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it again: lineage ends in files that outlive executors."""
+#: Narrow rows for which a scratch table has a file at most.
+FILE_ROWS = 1 << 17
+
+
+def cut(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it again: lineage ends in files that outlive executors.
+
+    ``rows``: about how many narrow rows it has at most, where that is known: then it isn't written in more files than they are worth.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def settled(df: DataFrame, label: str, keep: set[str]) -> DataFrame:
+def settled(df: DataFrame, label: str, keep: set[str], rows: int | None = None) -> DataFrame:
     """A result that no longer needs the tables it was made from, once written; ``keep`` is that of the ``scratch`` it ends."""
-    out, path = cut(df, label)
+    out, path = cut(df, label, rows)
     keep.add(path)
     return out
 

@@ -32,14 +32,14 @@ def state_of(edges: DataFrame) -> tuple[int, int | None]:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges``: (a, b) of one orderable type.  Returns (id, component) for every id in an edge with a != b.
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """``edges``: (a, b) of one orderable type, about ``rows`` at most.  Returns (id, component) for every id in an edge with a != b.
 
     The component is its smallest id.  Null ends and loops are ignored; repeated edges change nothing; no edges: no rows.
     """
     spark = edges.sparkSession
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, path = cut(e, "edges")
+    e, path = cut(e, "edges", rows)
     state = None
     for _ in range(MAX_ROUNDS):
         now = state_of(e)
@@ -50,7 +50,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, 2 * now[0], larger=True).distinct()
-        e, new = cut(_star(large, 2 * now[0], larger=False).distinct(), "edges")
+        e, new = cut(_star(large, 2 * now[0], larger=False).distinct(), "edges", 2 * now[0])
         remove(spark, path)
         path = new
     raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")

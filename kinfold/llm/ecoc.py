@@ -161,7 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     d = learnable(docs, id_col, text, lang)
     sizes = d.groupBy("lang").count().select(F.col("lang").alias("_lang"), (F.lit(float(sample)) / F.col("count")).alias("share"))
     # Written first: the planner then knows the size of this table, and broadcasts it only below the session's threshold.
-    sizes, _ = cut(sizes, "languages")
+    sizes, _ = cut(sizes, "languages", 1)
     u = F.pmod(F.xxhash64("id", F.lit("ecoc")), F.lit(1 << 30)) / float(1 << 30)
     chosen = d.join(sizes, F.col("lang") == F.col("_lang")).where(u < F.col("share")).select("t", "lang")
     counts = chosen.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()

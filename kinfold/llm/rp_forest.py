@@ -364,7 +364,7 @@ def _descender(turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def _sizes(placed: DataFrame) -> DataFrame:
-    return cut(placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaves")[0]
+    return cut(placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaves", placed.count())[0]
 
 
 def _renumbered(placed: DataFrame, changes: DataFrame) -> DataFrame:
@@ -383,7 +383,7 @@ def refined(placed: DataFrame, leaf: int, most: int, spill: float, threshold: fl
     sizes, whole = _sizes(placed), None
     for turn in range(rounds):
         large = sizes.where(F.col("n") > most)
-        large, _ = cut(large if whole is None else large.join(whole, "leaf", "left_anti"), "large")
+        large, _ = cut(large if whole is None else large.join(whole, "leaf", "left_anti"), "large", placed.count())
         total = large.agg(F.sum("n")).first()[0]
         if not total:
             break
@@ -460,7 +460,7 @@ def block_pairs(rows: DataFrame, block: int) -> DataFrame:
 
 def compared(placed: DataFrame, sizes: DataFrame, most: int, block: int, threshold: float) -> DataFrame:
     """(rep, n, root): links newly counted in a leaf and the smallest rep of the row's component there."""
-    large, _ = cut(sizes.where(F.col("n") > most), "large")
+    large, _ = cut(sizes.where(F.col("n") > most), "large", placed.count())
     total = large.agg(F.sum("n")).first()[0]
     if total:
         rows = placed.select("rep", F.explode("leaves").alias("leaf"))
@@ -521,14 +521,14 @@ def near_duplicates(
             nodes = nodes.join(F.broadcast(groups), "ball", "left")
             across = found.groupBy("rep").agg(F.sum("n").alias("across"))
             edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
-            comp = connected_components(edges.unionByName(nodes.where(F.col("first").isNotNull()).select(F.col("rep").alias("a"), F.col("first").alias("b"))))
+            comp = connected_components(edges.unionByName(nodes.where(F.col("first").isNotNull()).select(F.col("rep").alias("a"), F.col("first").alias("b"))), trees * total)
             per = nodes.join(across, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
             per = per.select(
                 "k", "copies",
                 (F.coalesce("size", "copies") - 1 + F.coalesce("across", F.lit(0))).cast("long").alias("n_links"),
                 F.coalesce("component", "rep").alias("component_id"),
             )
-            per, path = cut(per, "groups")
+            per, path = cut(per, "groups", total)
             keep.add(path)
     if not parts:
         per = spark.createDataFrame([], "k string, copies long, n_links long, component_id long")

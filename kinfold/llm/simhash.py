@@ -103,9 +103,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
         d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
         d = with_fingerprint(d, "text").select("id", F.xxhash64(text_of("text")).alias("th"), "fp")
         d, _ = cut(d, "fingerprints")
-        classes, _ = cut(d.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-        total = classes.agg(F.sum("copies")).first()[0] or 0
-        comp = connected_components(links(classes.select("fp"), radius, segments))
+        total = d.count()
+        classes, _ = cut(d.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes", total)
+        comp = connected_components(links(classes.select("fp"), radius, segments), total)
         linked = comp.withColumnRenamed("id", "fp").join(classes, "fp")
         # A component of many fingerprints is a group like any other: its members meet its smallest id without meeting in a task.
         first = linked.groupBy("component").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -114,9 +114,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
             "fp", "copies", F.coalesce("component", "fp").alias("root"),
             F.when(F.col("component").isNotNull(), F.col("first")).otherwise(F.col("rep")).alias("component_id"),
         )
-        named, _ = cut(named, "groups")
+        named, _ = cut(named, "groups", total)
         out = join_spread(d, named, "fp", "copies", total).select("id", "th", "fp", "root", "component_id")
-        return settled(out, "grouped", keep)
+        return settled(out, "grouped", keep, total)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, exists, join_spread, remove, scratch, scratch_path, settled, text_of
+from .common import FILE_ROWS, HOT_SHARE, cut, exists, join_spread, remove, scratch, scratch_path, settled, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -115,7 +115,7 @@ def chosen_texts(docs: DataFrame, classes: DataFrame, total: int, cache: DataFra
     """
     spark = docs.sparkSession
     missing = classes.join(cache, "digest", "left_anti").select(F.col("digest").alias("_digest"), F.col("id").alias("_id"), "copies")
-    missing, path = cut(missing, "missing")
+    missing, path = cut(missing, "missing", total)
     n = missing.count()
     d = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("t"))
     d = d.withColumn("digest", F.unhex(F.sha2("t", 256)))
@@ -139,7 +139,8 @@ def fill(docs: DataFrame, classes: DataFrame, total: int, cache: str, id_col: st
     """Encode the distinct texts that the cache lacks and append them."""
     chosen = chosen_texts(docs, classes, total, cached(docs.sparkSession, cache, vocabulary), id_col, text)
     counted = chosen.mapInPandas(_encoder(vocabulary, ranks), _SCHEMA)
-    counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(f"{cache}/{version(vocabulary)}")
+    counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).coalesce(max(1, -(-total // FILE_ROWS)))
+    counted.write.mode("append").parquet(f"{cache}/{version(vocabulary)}")
 
 
 def count_tokens(
@@ -152,11 +153,11 @@ def count_tokens(
         cache = cache or scratch_path(spark, "token-cache")
         keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("digest"))
         keyed, _ = cut(keyed, "digests")
-        classes, _ = cut(keyed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-        total = classes.agg(F.sum("copies")).first()[0] or 0
+        total = keyed.count()
+        classes, _ = cut(keyed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes", total)
         fill(docs, classes, total, cache, id_col, text, vocabulary, ranks)
         counts = cached(spark, cache, vocabulary).join(classes.select("digest", "copies"), "digest")
         out = join_spread(keyed, counts, "digest", "copies", total).select(
             F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
         )
-        return settled(out, "counts", keep)
+        return settled(out, "counts", keep, total)

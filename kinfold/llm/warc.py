@@ -194,12 +194,13 @@ def write_archives(
     unnamed = narrow.where((F.col("n") >= least) & F.col("id").isNull()).select("digest", "n").distinct()
     alone = narrow.where((F.col("n") >= least) & F.col("id").isNotNull()).join(unnamed, ["digest", "n"], "left_semi").groupBy("digest", "n").agg(F.max("id").alias("last"))
     # Written, so that the planner knows its size: payloads only move by digest where it is too large to broadcast.
-    copies, copied = cut(copies.unionByName(alone).distinct(), "copies")
+    rows = narrow.count()
+    copies, copied = cut(copies.unionByName(alone).distinct(), "copies", rows)
     total = narrow.agg(F.sum("n") + F.count("n") * 512).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     splits = np.zeros(0, np.int64)
     if shards > 1:
-        share = SPLIT_SAMPLE * shards / max(1, narrow.count())
+        share = SPLIT_SAMPLE * shards / max(1, rows)
         u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
         sample = np.sort(narrow.where(F.col("id").isNotNull() & (u < share)).select("id").distinct().toPandas()["id"].to_numpy(np.int64))
         splits = np.unique(sample[len(sample) * np.arange(1, shards) // shards]) if len(sample) else splits
