@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Grids of the rules (fixed values).
 T_SINGLE = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 T_ABS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 T_REL = [0.0, 0.2, 0.4, 0.6]
@@ -45,9 +46,14 @@ def rule_simple(pairs: DataFrame, score: str, t: float) -> DataFrame:
 
 def rule_expected(pairs: DataFrame, score: str, strictness: float | Column, by: list[str] | None = None) -> DataFrame:
     """For each first-source record the list length with the highest expected F0.5, if that beats an empty list."""
+    return expected_lists(own(pairs, score, by=by), score, strictness, by)
+
+
+def expected_lists(owned: DataFrame, score: str, strictness: float | Column, by: list[str] | None = None) -> DataFrame:
+    """``rule_expected`` for pairs that are owned already."""
     by = by or []
     g = F.lit(strictness) if isinstance(strictness, (int, float)) else strictness
-    x = own(pairs, score, by=by).withColumn("q", F.pow(F.greatest(F.least(F.col(score), F.lit(0.999999)), F.lit(0.0)), g))
+    x = owned.withColumn("q", F.pow(F.greatest(F.least(F.col(score), F.lit(0.999999)), F.lit(0.0)), g))
     per = Window.partitionBy(*by, "s1")
     rank = per.orderBy(F.desc("q"), "src", "id")
     x = x.select(
@@ -109,39 +115,66 @@ def grid(pairs: DataFrame, score: str, universe: DataFrame, truth: DataFrame) ->
     return g.join(plateau, ["i", "j", "k"]).select(pick(T_SINGLE, "i").alias("t_single"), pick(T_ABS, "j").alias("t_abs"), pick(T_REL, "k").alias("t_rel"), "f05", "plateau")
 
 
-def _mean_by(chosen: DataFrame, universe: DataFrame, truth: DataFrame, cell: list[str], cells: DataFrame) -> DataFrame:
-    """f of every record under every cell; ``chosen`` has the cell columns.
+def _counts(chosen: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
+    """(by, s1, k, a): how many are chosen for each record, and how many of them are true."""
+    hit = truth.select(*KEYS, F.lit(1).alias("_hit"))
+    return chosen.join(hit, KEYS, "left").groupBy(*by, "s1").agg(F.count(F.lit(1)).alias("k"), F.count("_hit").alias("a"))
 
-    A record without a choice in a cell counts there too: cells and records are crossed only as an outer frame of a known, small number of cells.
-    """
-    k = chosen.groupBy(*cell, "s1").agg(F.count(F.lit(1)).alias("k"))
-    a = chosen.select(*cell, *KEYS).join(truth, KEYS).groupBy(*cell, "s1").agg(F.count(F.lit(1)).alias("a"))
+
+def _judged(counts: DataFrame, universe: DataFrame, truth: DataFrame) -> DataFrame:
+    """``universe`` with f for each (by, s1) of ``counts``, and f0, which a record without a choice has."""
     t = truth.groupBy("s1").agg(F.count(F.lit(1)).alias("t"))
-    u = universe.join(t, "s1", "left").crossJoin(F.broadcast(cells))
-    x = u.join(k, [*cell, "s1"], "left").join(a, [*cell, "s1"], "left").fillna(0, ["k", "t", "a"])
-    return x.withColumn("f", f05(F.col("t"), F.col("a"), F.col("k")))
+    u = universe.join(t, "s1", "left").fillna(0, ["t"]).withColumn("f0", f05(F.col("t"), F.lit(0), F.lit(0)))
+    return u.join(counts, "s1", "left").withColumn("f", f05(F.col("t"), F.col("a"), F.col("k")))
+
+
+def _means(judged: DataFrame, cells: DataFrame, universe: DataFrame, truth: DataFrame, cell: list[str], group: list[str]) -> DataFrame:
+    """Mean f for each cell and group: that of records without any choice, corrected by those that have one.
+
+    So records don't meet the cells in which nothing was chosen for them.
+    """
+    base = _judged(truth.limit(0).select("s1", F.lit(0).alias("k"), F.lit(0).alias("a")), universe, truth).groupBy(*group).agg(F.sum("f0").alias("_s0"), F.count(F.lit(1)).alias("n"))
+    gain = judged.where("k is not null").groupBy(*cell, *group).agg(F.sum(F.col("f") - F.col("f0")).alias("_g"))
+    # A group's row and the few cells of the grid meet by exploding the grid, which is one literal.
+    base = base.withColumn("_c", F.explode(cells)).select(*[F.col(f"_c.{c}").alias(c) for c in cell], *[F.col(g).alias(f"_k_{g}") for g in group], "_s0", "n")
+    same = [F.col(f"b.{c}") == F.col(f"g.{c}") for c in cell] + [F.col(f"b._k_{g}").eqNullSafe(F.col(f"g.{g}")) for g in group]
+    x = base.alias("b").join(gain.alias("g"), same, "left")
+    return x.select(*[F.col(f"b.{c}").alias(c) for c in cell], *[F.col(f"b._k_{g}").alias(g) for g in group], "n", ((F.col("_s0") + F.coalesce("_g", F.lit(0.0))) / F.col("n")).alias("f05"))
+
+
+def _grid(rows: list[tuple], names: list[str]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])
 
 
 def tune(pairs: DataFrame, score: str, universe: DataFrame, truth: DataFrame) -> DataFrame:
-    """(kind, v, dev, holdout): mean F0.5 of both kinds of rule over their grids; ``universe`` has the fold."""
-    spark = pairs.sparkSession
-    thr = pairs.transform(lambda d: own(d, score)).withColumn("v", F.explode(F.array(*[F.lit(v) for v in THRESHOLDS]))).where(F.col(score) >= F.col("v"))
-    ef = rule_expected(pairs.withColumn("v", F.explode(F.array(*[F.lit(v) for v in STRICTNESS]))), score, F.col("v"), by=["v"])
-    chosen = thr.select(F.lit("thr").alias("kind"), "v", *KEYS).unionByName(ef.select(F.lit("ef").alias("kind"), "v", *KEYS))
-    cells = spark.createDataFrame([("thr", v) for v in THRESHOLDS] + [("ef", v) for v in STRICTNESS], "kind string, v double")
-    e = _mean_by(chosen, universe, truth, ["kind", "v"], cells)
-    return e.groupBy("kind", "v").agg(F.avg(F.when(F.col("fold") >= 0, F.col("f"))).alias("dev"), F.avg(F.when(F.col("fold") < 0, F.col("f"))).alias("holdout"))
+    """(kind, v, dev, holdout): mean F0.5 of both kinds of rule over their grids; ``universe`` has the fold.
+
+    Owners are found once; only owned pairs, one for each other-source record, meet the grids.
+    """
+    owned = own(pairs, score).select(*KEYS, score)
+    each = lambda kind, values: owned.select(*KEYS, score, F.lit(kind).alias("kind"), F.explode(F.array(*[F.lit(v) for v in values])).alias("v"))
+    thr = each("thr", THRESHOLDS).where(F.col(score) >= F.col("v"))
+    ef = expected_lists(each("ef", STRICTNESS), score, F.col("v"), by=["kind", "v"])
+    counts = _counts(thr.select("kind", "v", *KEYS).unionByName(ef.select("kind", "v", *KEYS)), truth, "kind", "v")
+    universe = universe.withColumn("_dev", F.col("fold") >= 0)
+    cells = _grid([("thr", v) for v in THRESHOLDS] + [("ef", v) for v in STRICTNESS], ["kind", "v"])
+    m = _means(_judged(counts, universe, truth), cells, universe, truth, ["kind", "v"], ["_dev"])
+    return m.groupBy("kind", "v").agg(F.max(F.when(F.col("_dev"), F.col("f05"))).alias("dev"), F.max(F.when(~F.col("_dev"), F.col("f05"))).alias("holdout"))
 
 
 def blend(pairs: DataFrame, old: str, new: str, universe: DataFrame, truth: DataFrame) -> DataFrame:
-    """(w, v, cty, f05, n): the expected rule over blends of two scores, on records outside the holdout."""
-    spark = pairs.sparkSession
-    x = pairs.withColumn("w", F.explode(F.array(*[F.lit(w) for w in BLENDS]))).withColumn("v", F.explode(F.array(*[F.lit(v) for v in STRICTNESS])))
-    x = x.withColumn("sc", F.round(F.col("w") * F.col(new) + (1 - F.col("w")) * F.col(old), 9))
-    chosen = rule_expected(x, "sc", F.col("v"), by=["w", "v"]).select("w", "v", *KEYS)
-    cells = spark.createDataFrame([(w, v) for w in BLENDS for v in STRICTNESS], "w double, v double")
-    e = _mean_by(chosen, universe.where("fold >= 0"), truth, ["w", "v"], cells)
-    return e.groupBy("w", "v", "cty").agg(F.avg("f").alias("f05"), F.count(F.lit(1)).alias("n"))
+    """(w, v, cty, f05, n): the expected rule over blends of two scores, on records outside the holdout.
+
+    The owners under all blends come from one aggregation of the pairs.
+    """
+    mixed = lambda w: F.round(F.lit(w) * F.col(new) + (1 - F.lit(w)) * F.col(old), 9)
+    best = pairs.groupBy("src", "id").agg(*[F.min(F.struct((-mixed(w)).alias("n"), "s1")).alias(f"o{i}") for i, w in enumerate(BLENDS)])
+    every = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"o{i}.s1").alias("s1"), (-F.col(f"o{i}.n")).alias("sc")) for i, w in enumerate(BLENDS)]))
+    owned = best.select("src", "id", every.alias("o")).select("o.s1", "src", "id", "o.w", "o.sc").withColumn("v", F.explode(F.array(*[F.lit(v) for v in STRICTNESS])))
+    counts = _counts(expected_lists(owned, "sc", F.col("v"), by=["w", "v"]).select("w", "v", *KEYS), truth, "w", "v")
+    universe = universe.where("fold >= 0")
+    cells = _grid([(w, v) for w in BLENDS for v in STRICTNESS], ["w", "v"])
+    return _means(_judged(counts, universe, truth), cells, universe, truth, ["w", "v"], ["cty"]).select("w", "v", "cty", "f05", "n")
 
 
 def best_strictness(blended: DataFrame) -> DataFrame:

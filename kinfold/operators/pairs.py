@@ -23,28 +23,37 @@ def rarity(rec: DataFrame, column: str) -> DataFrame:
     return d.join(by, ["cty", "df"]).select("cty", "t", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"), "idfp")
 
 
+def rare_words(rec: DataFrame, column: str, idf: DataFrame) -> DataFrame:
+    """(src, id, cty, words, weight): the distinct words of each record with their rarity, and the sum of their weights.
+
+    Words that were never counted weigh as much as the rarest and are the most common of all.
+    """
+    most = idf.agg(F.max("idf")).first()[0]
+    t = rec.select("src", "id", "cty", F.explode(F.array_distinct(F.split(column, " "))).alias("t")).where("t <> ''")
+    t = t.join(idf.select("cty", "t", "idf", "idfp"), ["cty", "t"], "left").select("src", "id", "cty", "t", F.coalesce("idf", F.lit(most)).alias("idf"), F.coalesce("idfp", F.lit(1.0)).alias("idfp"))
+    return t.groupBy("src", "id", "cty").agg(F.sort_array(F.collect_list(F.struct("t", "idf", "idfp"))).alias("words"), F.sum("idf").alias("weight"))
+
+
 def weighted_jaccard(pairs: DataFrame, rec: DataFrame, column: str, idf: DataFrame, pre: str) -> DataFrame:
-    """Rarity-weighted overlap of two token sets, and the rarest shared and unshared words."""
-    a = rec.where("src = 1").select(F.col("id").alias("s1"), "cty", F.array_distinct(F.split(column, " ")).alias("w1"))
-    b = rec.where("src <> 1").select("src", "id", F.array_distinct(F.split(column, " ")).alias("w2"))
-    x = pairs.select("s1", "src", "id").join(a, "s1").join(b, ["src", "id"])
-    side = F.when(F.array_contains("w1", F.col("t")) & F.array_contains("w2", F.col("t")), 3).when(F.array_contains("w1", F.col("t")), 1).otherwise(2)
-    t = x.withColumn("t", F.explode(F.array_union("w1", "w2"))).where("t <> ''").select("s1", "src", "id", "cty", "t", side.alias("side"))
-    most = idf.agg(F.max("idf").alias("most"))
-    # One row: the highest weight stands in for words that were never counted.
-    t = t.join(idf.select("cty", "t", "idf", "idfp"), ["cty", "t"], "left").crossJoin(F.broadcast(most))
-    t = t.withColumn("idf", F.coalesce("idf", "most")).withColumn("idfp", F.coalesce("idfp", F.lit(1.0)))
-    g = t.groupBy("s1", "src", "id").agg(
-        F.sum(F.when(F.col("side") != 2, F.col("idf"))).alias("wa"), F.sum(F.when(F.col("side") != 1, F.col("idf"))).alias("wb"),
-        F.coalesce(F.sum(F.when(F.col("side") == 3, F.col("idf"))), F.lit(0.0)).alias("wi"),
-        F.coalesce(F.max(F.when(F.col("side") == 3, F.col("idfp"))), F.lit(0.0)).alias("ps"), F.coalesce(F.max(F.when(F.col("side") != 3, F.col("idfp"))), F.lit(0.0)).alias("pm"),
-    )
-    both = F.col("wa").isNotNull() & F.col("wb").isNotNull()
-    g = g.select(
-        "s1", "src", "id", F.when(both, F.col("wi") / (F.col("wa") + F.col("wb") - F.col("wi"))).alias(f"{pre}_wjac"),
-        F.when(both, F.col("ps")).alias(f"{pre}_share_p"), F.when(both, F.col("pm")).alias(f"{pre}_miss_p"),
+    """Rarity-weighted overlap of two token sets, and the commonest shared and unshared words.
+
+    Weights are attached to records, which are fewer than pairs; a pair then compares two short arrays in place.
+    """
+    w = rare_words(rec, column, idf)
+    a = w.where("src = 1").select(F.col("id").alias("s1"), F.col("words").alias("x1"), F.col("weight").alias("wa"))
+    b = w.where("src <> 1").select("src", "id", F.col("words").alias("x2"), F.col("weight").alias("wb"))
+    x = pairs.select("s1", "src", "id").join(a, "s1", "left").join(b, ["src", "id"], "left")
+    x = x.withColumn("t1", F.transform("x1", lambda v: v["t"])).withColumn("t2", F.transform("x2", lambda v: v["t"]))
+    x = x.withColumn("both", F.filter("x1", lambda v: F.array_contains("t2", v["t"])))
+    x = x.withColumn("apart", F.concat(F.filter("x1", lambda v: ~F.array_contains("t2", v["t"])), F.filter("x2", lambda v: ~F.array_contains("t1", v["t"]))))
+    shared = F.aggregate("both", F.lit(0.0), lambda s, v: s + v["idf"])
+    top = lambda c: F.coalesce(F.array_max(F.transform(c, lambda v: v["idfp"])), F.lit(0.0))
+    ok = F.col("x1").isNotNull() & F.col("x2").isNotNull()
+    x = x.withColumn("wi", shared)
+    return x.select(
+        "s1", "src", "id", F.when(ok, F.col("wi") / (F.col("wa") + F.col("wb") - F.col("wi"))).alias(f"{pre}_wjac"),
+        F.when(ok, top("both")).alias(f"{pre}_share_p"), F.when(ok, top("apart")).alias(f"{pre}_miss_p"),
     )
-    return pairs.select("s1", "src", "id").join(g, ["s1", "src", "id"], "left")
 
 
 def with_records(pairs: DataFrame, rec: DataFrame, columns: list[str]) -> DataFrame:

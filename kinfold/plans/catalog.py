@@ -36,7 +36,7 @@ class Data:
 
     @property
     def rec(self) -> DataFrame:
-        return tables.records(self.table("documents"))
+        return self._step("records", lambda: tables.records(self.table("documents")), name_words=tables.NAME_WORDS, street_words=tables.STREET_WORDS)
 
     @property
     def truth(self) -> DataFrame:
@@ -253,8 +253,8 @@ def learned_word_map(d: Data) -> DataFrame:
 
 @query(
     "city:s state:s", [
-    """p AS (SELECT lower(trim(c_mktsegment || '_' || substr(c_name, length(c_name), 1))) AS city, n_name AS state FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 5 = 0
-      UNION ALL SELECT lower(n_name), n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    """p AS (SELECT lower(translate(n_name, '0123456789', 'abcdefghij') || ' ' || c_mktsegment) AS city, n_name AS state FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT lower(c_mktsegment), n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
     good AS (SELECT state FROM p GROUP BY state HAVING count(*) >= 20),
     f AS (SELECT * FROM p WHERE state IN (SELECT state FROM good) AND length(city) >= 3 AND NOT regexp_matches(city, '[0-9]')),
     c AS (SELECT city, state, count(*) AS n, sum(count(*)) OVER (PARTITION BY city) AS total FROM f GROUP BY city, state)"""],
@@ -262,8 +262,10 @@ def learned_word_map(d: Data) -> DataFrame:
 )
 def city_state_map(d: Data) -> DataFrame:
     c = d.table("customer").join(d.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    one = c.where("c_nationkey % 5 = 0").select(F.concat(F.lit("1 road, "), F.col("c_mktsegment"), F.lit("_"), F.expr("right(c_name, 1)"), F.lit(", "), F.col("n_name")).alias("a"))
-    two = c.select(F.concat_ws(", ", F.lit("2 road"), "n_name", "n_name").alias("a"))
+    # A nation's towns are its own; the bare names of their quarters are everywhere.  A town's name has no digits.
+    town = F.concat_ws(" ", F.translate("n_name", "0123456789", "abcdefghij"), "c_mktsegment")
+    one = c.select(F.concat_ws(", ", F.lit("1 road"), town, "n_name").alias("a"))
+    two = c.select(F.concat_ws(", ", F.lit("2 road"), "c_mktsegment", "n_name").alias("a"))
     return learned.city_map(one.unionByName(two), "a", min_count=10, min_state=20)
 
 
@@ -645,10 +647,11 @@ def matches_per_record(d: Data) -> DataFrame:
     return reports.matches_per_record(d.rec, d.truth)
 
 
-@query("cty:s", [], "(SELECT DISTINCT n_name AS cty FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL))")
+@query("cty:s", [], "(SELECT DISTINCT n_name AS cty FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000 AND s_nationkey IS NOT NULL))")
 def unseen_countries(d: Data) -> DataFrame:
+    """Nations that none of the wealthier suppliers is from."""
     n = d.table("nation").select(F.col("n_name").alias("cty"), "n_nationkey")
-    return reports.unseen_countries(n.join(d.table("supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey"), n)
+    return reports.unseen_countries(n.join(d.table("supplier").where("s_acctbal > 7000").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey"), n)
 
 
 @query("src:i cty:s name_nonlatin:d is_handle:d name_phone:d addr_empty:d has_landmark:d has_legal:d has_state:d has_number:d")

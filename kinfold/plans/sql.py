@@ -1,9 +1,10 @@
 """DuckDB statements of the shared steps, written independently of the DataFrame code."""
 
 REC = r"""rec AS (
-  SELECT doc_id AS id, CAST(doc_id % 3 + 1 AS INTEGER) AS src, lang AS cty, trim(substr(c, 1, 40)) AS name,
-         trim(concat(CAST(n_chars % 500 AS VARCHAR), ' ', trim(substr(c, 41, 40)))) AS addr, source AS st
-  FROM (SELECT *, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS c FROM documents))"""
+  SELECT doc_id AS id, CAST(doc_id % 3 + 1 AS INTEGER) AS src, lang AS cty, trim(array_to_string(list_transform(w[1:4], lambda x: x.w), ' ')) AS name,
+         trim(concat(CAST(n_chars % 500 AS VARCHAR), ' ', array_to_string(list_transform(w[5:8], lambda x: x.w), ' '))) AS addr, source AS st
+  FROM (SELECT *, list_sort(list_transform(list_distinct(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ')),
+        lambda x: {'n': -length(x), 'w': x})) AS w FROM documents))"""
 TRUTH = r"""hashed AS (
   SELECT doc_id AS id, CAST(doc_id % 3 + 1 AS INTEGER) AS src, lang AS cty,
          md5(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))) AS h FROM documents),

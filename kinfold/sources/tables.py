@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 
 #: Goes up whenever a cached step's rules change.
-STEP_VERSION = 1
+STEP_VERSION = 2
+#: Words of a record's name and of its street.
+NAME_WORDS, STREET_WORDS = 4, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +26,20 @@ def clean(text: Column) -> Column:
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """Documents as fixed-width business records: 40 characters of name, 40 of street after a house number."""
-    c = clean(F.col("text"))
-    return docs.select(
+    """Documents as business records, from their whole texts: the ``NAME_WORDS`` longest words are the name, the next ones the street after a house number.
+
+    Words count once; of equally long ones the first in the alphabet comes first.  Copies of a text are copies of a record, and a word changed
+    somewhere in a text changes the record where it is among the longest.
+    """
+    words = F.array_distinct(F.split(clean(F.col("text")), " "))
+    # Sorts by length and then by word without a comparator.
+    ranked = F.array_sort(F.transform(words, lambda w: F.concat(F.lpad((F.lit(99_999_999) - F.length(w)).cast("string"), 8, "0"), w)))
+    chosen = lambda at, n: F.array_join(F.transform(F.slice("r", at, n), lambda w: F.substring(w, 9, 1 << 30)), " ")
+    d = docs.select("doc_id", "lang", "source", "n_chars", ranked.alias("r"))
+    return d.select(
         F.col("doc_id").alias("id"), (F.col("doc_id") % 3 + 1).cast("int").alias("src"), F.col("lang").alias("cty"),
-        F.trim(F.substring(c, 1, 40)).alias("name"),
-        F.trim(F.concat((F.col("n_chars") % 500).cast("string"), F.lit(" "), F.trim(F.substring(c, 41, 40)))).alias("addr"),
+        F.trim(chosen(1, NAME_WORDS)).alias("name"),
+        F.trim(F.concat((F.col("n_chars") % 500).cast("string"), F.lit(" "), chosen(NAME_WORDS + 1, STREET_WORDS))).alias("addr"),
         F.col("source").alias("st"),
     )
 
