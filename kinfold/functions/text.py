@@ -76,11 +76,7 @@ def has_phone(cleaned: Column) -> Column:
 
 def scrub_name(cleaned: Column) -> Column:
     """Phone numbers, web addresses and punctuation go; digits read for letters come back."""
-    steps = [
-        (r"\d{7,}", " "), (r"^\s*www\s*\.", " "), (L.DOMAIN_RE, " "), (r"\.", ""), (PUNCT, " "),
-        (r"([a-z])0([a-z])", "$1o$2"), (r"([a-z])1([a-z])", "$1l$2"), (r"\b5([a-z]{3,})", "s$1"), (r"\b0([a-z]{2,})", "o$1"), (r"\s+", " "),
-    ]
-    for pattern, to in steps:
+    for pattern, to in L.NAME_SCRUB:
         cleaned = F.regexp_replace(cleaned, pattern, to)
     return F.trim(cleaned)
 
@@ -114,9 +110,7 @@ def alias_of(name: Column) -> Column:
 def skeleton(c: Column) -> Column:
     """Consonant classes: spellings that sound alike meet."""
     x = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("x"), F.lit("ks")), r"[^a-z]", "")
-    for pattern, to in (
-        ("ph|bh|b|p|f", "P"), ("kh|gh|ch|k|g|q|c", "K"), ("th|dh|t|d", "T"), ("sh|s|z|j", "S"), ("[vw]", "V"), ("[aeiouyh]", ""), (r"(.)\1+", "$1"),
-    ):
+    for pattern, to in L.CONSONANTS:
         x = F.regexp_replace(x, pattern, to)
     return x
 
@@ -140,7 +134,7 @@ _CONSONANTS = dict(
 _MARKS = {0x01: "m̐", 0x02: "ṃ", 0x03: "ḥ"}
 _BLOCKS = range(0x0900, 0x0D80, 0x80)
 _INDIC = re.compile("[ऀ-ൿ]")
-_FINAL_A = re.compile("(?<=\\w\\w)(?<=[^aeiouāīūṛ\\W])a\\b")
+_FINAL_A = re.compile(L.FINAL_A_RE)
 
 
 def romanise(text: str) -> str:
@@ -165,7 +159,7 @@ def romanise(text: str) -> str:
             out.append((_VOWELS | _SIGNS | _MARKS).get(off, ch))
     if pending:
         out.append("a")
-    return re.sub("pr[aā]\\s*\\.?\\s*li\\b\\.?", "pvt ltd", _FINAL_A.sub("", "".join(out)))
+    return re.sub(L.PVT_LTD_RE, "pvt ltd", _FINAL_A.sub("", "".join(out)))
 
 
 @F.pandas_udf(StringType())
@@ -182,8 +176,9 @@ def transliterate(df: DataFrame, column: str, only_without_latin: bool = False)
     return df.join(unique, F.col(column) == F.col("_kf_from"), "left").withColumn(column, F.coalesce("_kf_to", column)).drop("_kf_from", "_kf_to")
 
 
-def replace_states(c: Column, names: dict[str, str]) -> Column:
-    """Native state names in either normal form replaced by their English ones, the longest first."""
+def replace_states(c: Column, names: dict[str, str] | None = None) -> Column:
+    """Native state names in either normal form replaced by their English ones, the longest first; by default those of the lexicon."""
+    names = names or {native: english for english, listed in L.NATIVE_STATES.items() for native in listed}
     table = {unicodedata.normalize(form, k): v for k, v in names.items() for form in ("NFC", "NFD")}
     for k in sorted(table, key=len, reverse=True):
         c = F.replace(c, F.lit(k), F.lit(table[k]))

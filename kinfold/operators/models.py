@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from .sampling import N_FOLDS
 
 
+#: Rounds stop once the error on the left-out fold no longer falls by this share.
+STOP_TOL = 0.001
+
+
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values as -1 with an indicator beside them: Spark's trees take no nulls."""
     new = {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in columns}
@@ -25,7 +29,10 @@ def _pipeline(columns: list[str], seed: int, rounds: int, depth: int, rate: floa
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=inputs, outputCol="_features"),
-            GBTClassifier(featuresCol="_features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, predictionCol="_pred")
+            GBTClassifier(
+                featuresCol="_features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, predictionCol="_pred",
+                validationIndicatorCol="_valid", validationTol=STOP_TOL,
+            )
             .setProbabilityCol("_prob")
             .setRawPredictionCol("_raw"),
         ]
@@ -33,10 +40,13 @@ def _pipeline(columns: list[str], seed: int, rounds: int, depth: int, rate: floa
 
 
 def fit_folds(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = (42,), rounds: int = 20, depth: int = 5, rate: float = 0.1) -> list[tuple[int, PipelineModel]]:
-    """(fold, model) for each fold and seed, fitted on the other folds; the holdout (fold -1) is never seen."""
-    x = filled(df, columns).persist()
+    """(fold, model) for each fold and seed, fitted on the other folds; the holdout (fold -1) is never seen.
+
+    ``rounds`` is the most: the left-out fold says when to stop, as the model is only scored on it afterwards.
+    """
+    x = filled(df, columns).where("fold >= 0").persist()
     try:
-        return [(k, _pipeline(columns, s, rounds, depth, rate).fit(x.where((F.col("fold") >= 0) & (F.col("fold") != k)))) for s in seeds for k in range(N_FOLDS)]
+        return [(k, _pipeline(columns, s, rounds, depth, rate).fit(x.withColumn("_valid", F.col("fold") == k))) for s in seeds for k in range(N_FOLDS)]
     finally:
         x.unpersist()
 
