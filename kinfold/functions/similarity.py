@@ -6,25 +6,32 @@ A side that is null or empty makes the result null.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if not a or not b:
-        return 0
+def _bits(a: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
     where: dict[str, int] = {}
     for i, ch in enumerate(a):
         where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    s = full
+    return where
+
+
+def _common(where: dict[str, int], n: int, b: str) -> int:
+    full = s = (1 << n) - 1
     for ch in b:
         u = s & where.get(ch, 0)
         s = (s + u | s - u) & full
-    return len(a) - s.bit_count()
+    return n - s.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return _common(_bits(a), len(a), b) if a and b else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -46,23 +53,43 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(both, with_left), ratio(both, with_right)) if both else best
 
 
+def _best_window(a: str, b: str) -> float:
+    """The best ratio of ``a`` to a window of its length in ``b``, windows cut off at the edges included.
+
+    Characters that a window shares with ``a``, in any order, bound its ratio; they are counted by sliding, and
+    windows are compared from the highest bound on, until the next one can't win.
+    """
+    n, need = len(a), Counter(a)
+    have: dict[str, int] = dict.fromkeys(need, 0)
+    shared, bounds = 0, []
+    for i in range(1 - n, len(b)):
+        new, old = i + n - 1, i - 1
+        if new < len(b) and (ch := b[new]) in have:
+            have[ch] += 1
+            shared += have[ch] <= need[ch]
+        if old >= 0 and (ch := b[old]) in have:
+            shared -= have[ch] <= need[ch]
+            have[ch] -= 1
+        lo, hi = max(0, i), min(len(b), i + n)
+        bounds.append((200.0 * shared / (n + hi - lo), lo, hi))
+    where, best = _bits(a), 0.0
+    for bound, lo, hi in sorted(bounds, reverse=True):
+        if bound <= best:
+            break
+        best = max(best, 200.0 * _common(where, n, b[lo:hi]) / (n + hi - lo))
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """The shorter string against its best window in the longer one, windows cut off at the edges included."""
+    """The shorter string against its best window in the longer one; of equally long ones, the better way round."""
     if len(a) > len(b):
         a, b = b, a
-    n, best = len(a), 0.0
-    for i in range(1 - n, len(b)):
-        window = b[max(0, i) : i + n]
-        if window and 200.0 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, ratio(a, window))
-            if best == 100.0:
-                break
-    if len(a) == len(b) and a != b:
-        for i in range(1 - n, n):
-            window = a[max(0, i) : i + n]
-            if 200.0 * len(window) / (n + len(window)) > best:
-                best = max(best, ratio(b, window))
-    return best
+    if not a:
+        return 0.0
+    if a == b:
+        return 100.0
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) and best < 100.0 else best
 
 
 def jaro_winkler(a: str, b: str) -> float:

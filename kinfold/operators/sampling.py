@@ -41,8 +41,8 @@ def fold_bucket(s1: Column) -> Column:
 
 
 def seeded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """``n`` rows that only their keys decide."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
+    """``n`` rows that only their keys decide, by a digest that other engines share."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit("sample"), *[F.col(k).cast("string") for k in keys]).cast("binary")), *keys).limit(n)
 
 
 def shuffled_partners(pairs: DataFrame, group: str) -> DataFrame:

@@ -156,7 +156,7 @@ def shuffled_partners(d: Data) -> DataFrame:
     return sampling.shuffled_partners(d.truth.join(d.universe, "s1"), "cty")
 
 
-@query("doc_id:i lang:s")
+@query("doc_id:i lang:s", [], "(SELECT * FROM documents ORDER BY md5('sample:' || doc_id), doc_id LIMIT 100)")
 def seeded_sample(d: Data) -> DataFrame:
     return sampling.seeded_sample(d.table("documents"), 100, "doc_id")
 
@@ -172,7 +172,13 @@ def _customers(d: Data) -> DataFrame:
     return c.unionByName(s)
 
 
-@query("src:i cty:s name_norm:s name_exp:s name_core:s name_sq:s name_alias:s legal:s addr_norm:s addr_state:s addr_num1:s name_nonlatin:b is_handle:b name_phone:b addr_nonlatin:b addr_empty:b has_landmark:b id:i")
+_BUSINESS = """raw AS (
+  SELECT id, src, name, addr, 'france' AS country FROM rec
+  UNION ALL SELECT c_custkey, 1, c_name, c_mktsegment || ', ' || n_name, 'us' FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT s_suppkey, 2, s_name, CAST(s_nationkey AS VARCHAR) || ', ' || n_name, 'us' FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+@query("src:i cty:s name_norm:s name_exp:s name_core:s name_sq:s name_alias:s legal:s addr_norm:s addr_state:s addr_num1:s name_nonlatin:b is_handle:b name_phone:b addr_nonlatin:b addr_empty:b has_landmark:b id:i", [Q.REC, _BUSINESS, Q.normalized("raw")], "norm")
 def normalized_records(d: Data) -> DataFrame:
     docs = d.rec.select("id", "src", "name", "addr", F.lit("france").alias("country"))
     return T.normalize_records(docs.unionByName(_customers(d)))
@@ -319,9 +325,7 @@ def block_state_bucket(d: Data) -> DataFrame:
 # ------------------------------------------------------------------ pair features
 
 
-_IDF = """words AS (SELECT cty, unnest(list_distinct(string_split(name, ' '))) AS t FROM rec WHERE name <> ''), n AS (SELECT cty, count(*) AS n FROM rec GROUP BY cty),
-d AS (SELECT cty, t, count(*) AS df FROM words GROUP BY cty, t),
-idf AS (SELECT d.cty, t, df, ln((n + 1) / (df + 1)) + 1 AS idf, sum(df) OVER (PARTITION BY d.cty ORDER BY df DESC RANGE UNBOUNDED PRECEDING) / sum(df) OVER (PARTITION BY d.cty) AS idfp FROM d JOIN n ON d.cty = n.cty)"""
+_IDF = Q.rarity("name")
 
 
 @query("cty:s t:s df:i idf:d idfp:d", [Q.REC, _IDF], "idf")
@@ -329,16 +333,7 @@ def idf_rarity(d: Data) -> DataFrame:
     return pairs.rarity(d.rec, "name")
 
 
-@query(
-    "s1:i src:i id:i nm_wjac:d nm_share_p:d nm_miss_p:d", [*Q.CAND, _IDF,
-    """pw AS (SELECT c.s1, c.src, c.id, a.cty, list_distinct(string_split(a.name, ' ')) AS w1, list_distinct(string_split(b.name, ' ')) AS w2
-      FROM cand c JOIN rec a ON a.src = 1 AND a.id = c.s1 JOIN rec b ON b.src = c.src AND b.id = c.id),
-    pt AS (SELECT s1, src, id, cty, w1, w2, unnest(list_distinct(list_concat(w1, w2))) AS t FROM pw),
-    px AS (SELECT pt.s1, pt.src, pt.id, list_contains(w1, pt.t) AS in1, list_contains(w2, pt.t) AS in2, idf, idfp FROM pt JOIN idf ON pt.cty = idf.cty AND pt.t = idf.t),
-    pg AS (SELECT s1, src, id, sum(idf) FILTER (in1) AS wa, sum(idf) FILTER (in2) AS wb, coalesce(sum(idf) FILTER (in1 AND in2), 0) AS wi,
-      coalesce(max(idfp) FILTER (in1 AND in2), 0) AS ps, coalesce(max(idfp) FILTER (NOT (in1 AND in2)), 0) AS pm FROM px GROUP BY s1, src, id)"""],
-    "(SELECT s1, src, id, wi / (wa + wb - wi) AS nm_wjac, ps AS nm_share_p, pm AS nm_miss_p FROM pg)",
-)
+@query("s1:i src:i id:i nm_wjac:d nm_share_p:d nm_miss_p:d", [*Q.CAND, Q.weighted_jaccard("name", "nm")], "nm_pg")
 def weighted_jaccard(d: Data) -> DataFrame:
     return pairs.weighted_jaccard(d.cand, d.rec, "name", pairs.rarity(d.rec, "name"), "nm")
 
@@ -360,7 +355,10 @@ def sim_jaro_winkler(d: Data) -> DataFrame:
     return _named_pairs(d).select("s1", "src", "id", S.column(S.jaro_winkler)(F.col("name_1"), F.col("name_2")).alias("jw"))
 
 
-@query("s1:i src:i id:i ratio:d tset:d tsort:d part:d")
+@query(
+    "s1:i src:i id:i ratio:d tset:d tsort:d part:d", [*Q.CAND, _NAMED, Q.ratios("(SELECT n1 AS a, n2 AS b FROM np)", partial=True)],
+    "(SELECT s1, src, id, ratio / 100 AS ratio, tset / 100 AS tset, tsort / 100 AS tsort, part / 100 AS part FROM np LEFT JOIN sim ON n1 = a AND n2 = b)",
+)
 def sim_ratios(d: Data) -> DataFrame:
     a, b = F.col("name_1"), F.col("name_2")
     return _named_pairs(d).select("s1", "src", "id", *[S.column(f, 100)(a, b).alias(k) for k, f in (("ratio", S.ratio), ("tset", S.token_set_ratio), ("tsort", S.token_sort_ratio), ("part", S.partial_ratio))])
@@ -373,10 +371,54 @@ def _normalized(d: Data) -> DataFrame:
 _REC_COLUMNS = ["name_core", "name_sq", "name_alias", "legal", "addr_norm", "addr_state", "addr_nums", "addr_num1", "name_nonlatin", "is_handle", "name_phone", "addr_nonlatin", "addr_empty", "has_landmark"]
 
 
-@query("s1:i src:i id:i legal_eq:i num_inter:i num_jac:d num_conflict:i num1_eq:i len_name_core_1:i nm_ratio:d nm_tset:d nm_jw:d ad_ratio:d nm_alias:d b_legal:i b_core_eq:i b_dnum:i b_num_edit:i b_skel:d")
+_FLAGS = ("name_nonlatin", "is_handle", "name_phone", "addr_nonlatin", "addr_empty", "has_landmark")
+_BLOCKERS = "r_name:i s_name:d r_addr:i s_addr:d r_combo:i s_combo:d r_rev:i s_rev:d q_rev:i min_rank:i max_score:d nb:i pos:i"
+_SETS = "legal_eq:i legal_has1:i legal_has2:i num_inter:i num_n1:i num_n2:i num_jac:d num_conflict:i num1_eq:i state_eq:i"
+_LENGTHS = " ".join(f"len_{n}_{k}:i" for n in ("name_core", "addr_norm") for k in (1, 2)) + " " + " ".join(f"{f}_{k}:i" for f in _FLAGS for k in (1, 2))
+_STRINGS = "nm_ratio:d nm_tset:d nm_tsort:d nm_part:d nm_jw:d sq_ratio:d sq_part:d ad_ratio:d ad_tset:d ad_part:d nm_alias:d"
+_RARE = "nm_wjac:d nm_share_p:d nm_miss_p:d ad_wjac:d ad_share_p:d ad_miss_p:d"
+_NUMBERS = "b_legal:i b_core_eq:i b_core_eq_legal_conf:i b_dnum:i b_dnum_abs:i b_num_samelen:i b_num_edit:i b_nonum_1:i b_nonum_2:i b_skel:d"
+
+
+def _pair_ctes() -> list[str]:
+    """All features of a candidate pair in SQL: ``pf``."""
+    legal = lambda k: "array_to_string(list_sort(list_distinct(" + Q.mapped(f"string_split(legal_{k}, ' ')", L.CONTEXT_LEGAL) + ")), ' ')"
+    first = lambda k: f"substr(ltrim(regexp_replace(coalesce(addr_num1_{k}, ''), '[^0-9]', '', 'g'), '0'), 1, 9)"
+    take = ", ".join(f"{t}.{col} AS {col}_{k}" for k, t in ((1, "a"), (2, "b")) for col in _REC_COLUMNS)
+    skel = lambda k: _SKEL.replace("name", f"name_core_{k}")
+    said = [("name_core_1", "name_core_2"), ("name_sq_1", "name_sq_2"), ("addr_norm_1", "addr_norm_2"), ("name_alias_1", "name_core_2"), ("name_core_1", "name_alias_2")]
+    texts = " UNION ALL ".join(f"SELECT {x} AS a, {y} AS b FROM xp" for x, y in said)
+    both = lambda x, y: f"coalesce({x}, '') <> '' AND coalesce({y}, '') <> ''"
+    return [
+        *Q.CAND, "raw AS (SELECT id, src, name, addr, cty AS country FROM rec)", Q.normalized("raw"),
+        f"xp AS (SELECT c.*, {take} FROM cand c JOIN norm a ON a.src = 1 AND a.id = c.s1 JOIN norm b ON b.src = c.src AND b.id = c.id)",
+        f"xn AS (SELECT *, {legal(1)} AS l1, {legal(2)} AS l2, {first(1)} AS f1, {first(2)} AS f2, {skel(1)} AS k1, {skel(2)} AS k2, len(list_intersect(addr_nums_1, addr_nums_2)) AS ni, len(addr_nums_1) AS n1, len(addr_nums_2) AS n2 FROM xp)",
+        Q.ratios(f"({texts})", "sim", partial=True), Q.ratios("(SELECT k1 AS a, k2 AS b FROM xn)", "sk"),
+        Q.weighted_jaccard("name", "nm"), Q.weighted_jaccard("addr", "ad"),
+        f"""pf AS (SELECT xn.*, xn.src AS src_no, CASE WHEN {both("legal_1", "legal_2")} THEN legal_1 = legal_2 END AS legal_eq, legal_1 <> '' AS legal_has1, legal_2 <> '' AS legal_has2, ni AS num_inter, n1 AS num_n1, n2 AS num_n2,
+          CASE WHEN n1 > 0 AND n2 > 0 THEN ni / (n1 + n2 - ni) END AS num_jac, n1 > 0 AND n2 > 0 AND ni = 0 AS num_conflict, CASE WHEN {both("addr_num1_1", "addr_num1_2")} THEN addr_num1_1 = addr_num1_2 END AS num1_eq, NULL AS state_eq,
+          length(name_core_1) AS len_name_core_1, length(name_core_2) AS len_name_core_2, length(addr_norm_1) AS len_addr_norm_1, length(addr_norm_2) AS len_addr_norm_2,
+          sn.ratio / 100 AS nm_ratio, sn.tset / 100 AS nm_tset, sn.tsort / 100 AS nm_tsort, sn.part / 100 AS nm_part, CASE WHEN {both("name_core_1", "name_core_2")} THEN jaro_winkler_similarity(name_core_1, name_core_2) END AS nm_jw,
+          sq.ratio / 100 AS sq_ratio, sq.part / 100 AS sq_part, sa.ratio / 100 AS ad_ratio, sa.tset / 100 AS ad_tset, sa.part / 100 AS ad_part, greatest(al.tset, ar.tset) / 100 AS nm_alias,
+          nm_wjac, nm_share_p, nm_miss_p, ad_wjac, ad_share_p, ad_miss_p, CASE WHEN l1 = '' AND l2 = '' THEN 0 WHEN l1 = '' OR l2 = '' THEN 1 WHEN l1 = l2 THEN 2 ELSE 3 END AS b_legal,
+          name_core_1 = name_core_2 AND name_core_1 <> '' AS b_core_eq, name_core_1 = name_core_2 AND name_core_1 <> '' AND l1 <> '' AND l2 <> '' AND l1 <> l2 AS b_core_eq_legal_conf,
+          TRY_CAST(f2 AS BIGINT) - TRY_CAST(f1 AS BIGINT) AS b_dnum, abs(TRY_CAST(f2 AS BIGINT) - TRY_CAST(f1 AS BIGINT)) AS b_dnum_abs, CASE WHEN f1 <> '' AND f2 <> '' THEN length(f1) = length(f2) END AS b_num_samelen,
+          CASE WHEN f1 <> '' AND f2 <> '' THEN levenshtein(f1, f2) END AS b_num_edit, n1 = 0 AS b_nonum_1, n2 = 0 AS b_nonum_2, sk.ratio / 100 AS b_skel
+          FROM xn LEFT JOIN sim sn ON name_core_1 = sn.a AND name_core_2 = sn.b LEFT JOIN sim sq ON name_sq_1 = sq.a AND name_sq_2 = sq.b LEFT JOIN sim sa ON addr_norm_1 = sa.a AND addr_norm_2 = sa.b
+          LEFT JOIN sim al ON name_alias_1 = al.a AND name_core_2 = al.b LEFT JOIN sim ar ON name_core_1 = ar.a AND name_alias_2 = ar.b LEFT JOIN sk ON k1 = sk.a AND k2 = sk.b
+          LEFT JOIN nm_pg ON xn.s1 = nm_pg.s1 AND xn.src = nm_pg.src AND xn.id = nm_pg.id LEFT JOIN ad_pg ON xn.s1 = ad_pg.s1 AND xn.src = ad_pg.src AND xn.id = ad_pg.id)""",
+    ]
+
+
+@query(f"s1:i src:i id:i src_no:i {_BLOCKERS} {_SETS} {_LENGTHS} {_STRINGS} {_RARE} {_NUMBERS}", _pair_ctes(), "pf")
 def pair_features(d: Data) -> DataFrame:
-    x = pairs.with_records(d.cand.select("s1", "src", "id"), _normalized(d), _REC_COLUMNS)
-    return x.select("s1", "src", "id", *pairs.set_features(x), *pairs.string_features(x), *pairs.number_features())
+    """Everything that the pair model sees, and the number features of the context model."""
+    x = pairs.with_records(d.cand, _normalized(d), _REC_COLUMNS)
+    keys = ["s1", "src", "id"]
+    x = x.select(*keys, F.col("src").alias("src_no"), *[c.split(":")[0] for c in _BLOCKERS.split()], *pairs.set_features(x), *pairs.string_features(x), *pairs.number_features())
+    for column, pre in (("name", "nm"), ("addr", "ad")):
+        x = x.join(pairs.weighted_jaccard(d.cand, d.rec, column, pairs.rarity(d.rec, column), pre), keys, "left")
+    return x
 
 
 @query("s1:i src:i id:i label:i", Q.SCORED, "pairs")
@@ -460,12 +502,29 @@ def rival_stats(d: Data) -> DataFrame:
     return context.rivals(d.cand, d.rec)
 
 
-@query("s1:i src:i id:i anc_name:d anc_addr:d anc_same_src:i")
+_ANCHOR = """ga AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, src, id) AS k FROM pairs),
+an AS (SELECT g.s1, g.src, g.id, r.name AS n, r.addr AS ad, o.name AS an_n, o.addr AS an_ad, CAST(t.src = g.src AS INT) AS same
+  FROM ga g JOIN rec r ON r.src = g.src AND r.id = g.id LEFT JOIN ga t ON t.s1 = g.s1 AND t.k = CASE WHEN g.k = 1 THEN 2 ELSE 1 END LEFT JOIN rec o ON o.src = t.src AND o.id = t.id)"""
+
+
+@query(
+    "s1:i src:i id:i anc_name:d anc_addr:d anc_same_src:i", [*Q.SCORED, _ANCHOR, Q.ratios("(SELECT n AS a, an_n AS b FROM an UNION ALL SELECT ad, an_ad FROM an)")],
+    "(SELECT s1, src, id, x.tset / 100 AS anc_name, y.tset / 100 AS anc_addr, same AS anc_same_src FROM an LEFT JOIN sim x ON n = x.a AND an_n = x.b LEFT JOIN sim y ON ad = y.a AND an_ad = y.b)",
+)
 def anchor_similarity(d: Data) -> DataFrame:
     return context.anchor_similarity(context.group_features(d.pairs), d.rec)
 
 
-@query("s1:i src:i id:i rv_addr:d rv_gap:d")
+_RIVALS = f"""fr AS (SELECT cty, name, id AS s1r, addr, count(*) OVER (PARTITION BY cty, name) AS c FROM rec WHERE src = 1 AND name <> ''),
+mt AS (SELECT p.s1, p.src, p.id, r.addr AS a2, fr.addr AS ar FROM pairs p JOIN rec r ON r.src = p.src AND r.id = p.id JOIN fr ON fr.cty = r.cty AND fr.name = r.name WHERE r.name <> '' AND fr.c <= {context.RIVAL_MAX} AND s1r <> p.s1),
+ow AS (SELECT p.s1, p.src, p.id, a.addr AS a1, b.addr AS a2 FROM pairs p JOIN rec a ON a.src = 1 AND a.id = p.s1 JOIN rec b ON b.src = p.src AND b.id = p.id)"""
+
+
+@query(
+    "s1:i src:i id:i rv_addr:d rv_gap:d", [*Q.SCORED, _RIVALS, Q.ratios("(SELECT a2 AS a, ar AS b FROM mt UNION ALL SELECT a1, a2 FROM ow)"),
+    "rb AS (SELECT s1, src, id, max(tset) / 100 AS rv_addr FROM mt JOIN sim ON a2 = a AND ar = b GROUP BY s1, src, id)"],
+    "(SELECT ow.s1, ow.src, ow.id, rv_addr, tset / 100 - rv_addr AS rv_gap FROM ow LEFT JOIN sim ON a1 = a AND a2 = b LEFT JOIN rb ON ow.s1 = rb.s1 AND ow.src = rb.src AND ow.id = rb.id)",
+)
 def rival_addresses(d: Data) -> DataFrame:
     return context.rival_addresses(d.pairs, d.rec)
 
@@ -654,7 +713,10 @@ def unseen_countries(d: Data) -> DataFrame:
     return reports.unseen_countries(n.join(d.table("supplier").where("s_acctbal > 7000").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey"), n)
 
 
-@query("src:i cty:s name_nonlatin:d is_handle:d name_phone:d addr_empty:d has_landmark:d has_legal:d has_state:d has_number:d")
+@query(
+    "src:i cty:s name_nonlatin:d is_handle:d name_phone:d addr_empty:d has_landmark:d has_legal:d has_state:d has_number:d", [Q.REC, "raw AS (SELECT id, src, name, addr, cty AS country FROM rec)", Q.normalized("raw")],
+    "(SELECT src, cty, " + ", ".join(f"avg(CAST({e} AS INT)) AS {n}" for n, e in (*((f, f) for f in ("name_nonlatin", "is_handle", "name_phone", "addr_empty", "has_landmark")), ("has_legal", "(legal <> '')"), ("has_state", "(addr_state <> '')"), ("has_number", "(len(addr_nums) > 0)"))) + " FROM norm GROUP BY src, cty)",
+)
 def normalization_flags(d: Data) -> DataFrame:
     return reports.flags(_normalized(d))
 
