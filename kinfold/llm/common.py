@@ -45,7 +45,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 #: Narrow rows for which a scratch table has a file at most.
-FILE_ROWS = 1 << 17
+FILE_ROWS = 1 << 15
 
 
 def cut(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, str]:
