@@ -10,7 +10,7 @@ listed in a table.  From its names and digests the run gets its name, so the sam
 ``<out>/<run>/``, each of which succeeds when repeated; the listing is written as the run's manifest table; last, the pointer ``manifest.json``
 that names the run is replaced in one step.  Readers only follow the pointer, so an archive is the old one or the new one, and a crash at any
 place is mended by running again.  The run that the pointer named before is then removed, as are the run's temporary files and nobody else's.
-Nothing grows on the driver but ``SPLIT_SAMPLE`` ids a shard (at 100 TB 800,000 shards and 100 MB).
+Nothing grows on the driver but ``SPLIT_SAMPLE`` ids a shard (at 100 TB 1.6 million shards and 200 MB).
 
 ``out`` must be a URI that both Spark and Arrow's file systems open; ``s3a`` is passed to the latter as ``s3``.
 
@@ -43,7 +43,7 @@ from .common import cut, exists, remove
 
 LEAST = 1000
 ROLL_BYTES = 1 << 28
-SHARD_BYTES = 1 << 27
+SHARD_BYTES = 1 << 26
 #: Ids for each shard that the split points are taken from, in expectation.
 SPLIT_SAMPLE = 16
 #: Files that a task reads at least, once there are more files than these tasks.
