@@ -46,17 +46,21 @@ class Data:
         return tables.step(self.spark, name, build, f"{self.sf_dir}/documents.parquet", **parameters)
 
     @property
-    def weights(self) -> DataFrame:
-        return self._step("weights", lambda: blocking.weights(self.rec), max_df=blocking.MAX_DF)
+    def sims(self) -> DataFrame:
+        return self._step("similarities", lambda: blocking.record_similarities(self.rec), **self._lists)
 
     @property
-    def sims(self) -> DataFrame:
-        return self._step("similarities", lambda: blocking.similarities(self.weights), max_df=blocking.MAX_DF)
+    def state_sims(self) -> DataFrame:
+        return self._step("state-similarities", lambda: blocking.record_similarities(self.rec, state="st"), **self._lists)
+
+    @property
+    def _lists(self) -> dict[str, object]:
+        return {"top": blocking.TOP, "reverse": blocking.REVERSE_TOP, "max_df": blocking.MAX_DF, "least": blocking.MIN_SIM}
 
     @property
     def cand(self) -> DataFrame:
         build = lambda: blocking.candidates(self.sims)
-        return self._step("candidates", build, top=blocking.TOP, reverse=blocking.REVERSE_TOP, cap=blocking.CAP, max_df=blocking.MAX_DF, least=blocking.MIN_SIM)
+        return self._step("candidates", build, cap=blocking.CAP, **self._lists)
 
     @property
     def universe(self) -> DataFrame:
@@ -319,7 +323,7 @@ def block_union_rank(d: Data) -> DataFrame:
     _CAND_COLUMNS, [*Q.BLOCK, "ok AS (SELECT s.* FROM sims s JOIN rec a ON a.src = 1 AND a.id = s.s1 JOIN rec b ON b.src = s.src AND b.id = s.id WHERE a.st = b.st)", Q.candidates("ok")], "cand"
 )
 def block_state_bucket(d: Data) -> DataFrame:
-    return blocking.candidates(blocking.same_state(d.rec)(d.sims))
+    return blocking.candidates(d.state_sims)
 
 
 # ------------------------------------------------------------------ pair features

@@ -78,8 +78,7 @@ class Split:
 
     def candidates(self) -> DataFrame:
         def build() -> DataFrame:
-            rec = self.view()
-            return blocking.candidates(blocking.similarities(blocking.weights(rec), blocking.same_state(rec)))
+            return blocking.candidates(blocking.record_similarities(self.view(), state="st"))
 
         return self._step("candidates", build, top=blocking.TOP, reverse=blocking.REVERSE_TOP, cap=blocking.CAP, max_df=blocking.MAX_DF, least=blocking.MIN_SIM)
 

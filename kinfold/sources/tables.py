@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 #: Goes up whenever a cached step's rules change.
-STEP_VERSION = 2
+STEP_VERSION = 3
 #: Words of a record's name and of its street.
 NAME_WORDS, STREET_WORDS = 4, 4
 
@@ -80,5 +80,5 @@ def step(spark: SparkSession, name: str, build: Callable[[], DataFrame], *inputs
     out = f"{scratch(spark)}/steps/{name}-{tag}"
     mark = jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
     if not mark.getFileSystem(conf).exists(mark):
-        build().write.mode("overwrite").parquet(out)
+        build().write.mode("overwrite").option("compression", "zstd").parquet(out)
     return spark.read.parquet(out)

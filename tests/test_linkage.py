@@ -58,6 +58,37 @@ def test_blocking_finds_copies_and_respects_limits(spark):
     assert kept.count() == 10
 
 
+def _all_pairs(spark, rec, state=False):
+    """Every pair that shares a token, by a plain join, as the lists' rows of any length."""
+    w = blocking.weights(rec)
+    q = w.where("src = 1").select("cty", "field", "t", F.col("id").alias("s1"), F.col("w").alias("wq"))
+    x = q.join(w.where("src <> 1"), ["cty", "field", "t"]).withColumn("b", F.col("wq") * F.col("w")).groupBy("s1", "src", "id").agg(
+        *[F.coalesce(F.sum(F.when(F.col("field") == f, F.col("b"))), F.lit(0.0)).alias(f) for f in ("name", "addr")]
+    )
+    x = x.select("s1", "src", "id", F.round("name", 6).alias("name_sim"), F.round("addr", 6).alias("addr_sim"), F.round((F.col("name") + F.col("addr")) * 0.5, 6).alias("combo_sim"))
+    x = x.withColumn("forward", F.lit(True)).withColumn("back", F.lit(True))
+    return blocking.same_state(rec)(x) if state else x
+
+
+@pytest.mark.parametrize("state", [None, "st"])
+def test_blocking_gives_out_lists_and_not_pairs(spark, monkeypatch, state):
+    monkeypatch.setattr(blocking, "FIRST_BLOCK", 90)
+    monkeypatch.setattr(blocking, "OTHER_BLOCK", 200)
+    part = ["red", "reed", "shop", "ship", "bar", "barn", "oak", "elm"]
+    rows = [(i, i % 3 + 1, "fr" if i % 7 == 0 else "en", f"{part[i * 5 % 8]} {part[i // 8 % 8]} {part[i // 5 % 8]}", f"{i % 40} {part[i % 8]} road", ["", "x", "y", "x y"][i // 3 % 4]) for i in range(600)]
+    rows += [(600, 1, "en", "", "5 oak road", None), (601, 2, "en", "red shop", "", None), (602, 3, None, "red shop", "5 oak road", "x"), (603, 2, "es", "alone", "1 elm", "x")]
+    rec = records(spark, rows).cache()
+    whole = _all_pairs(spark, rec, bool(state)).cache()
+    kinds = [blocking.record_similarities(rec, state=state, k=4, reverse_k=2)] + ([] if state else [blocking.similarities(blocking.weights(rec), 4, 2)])
+    for sims in kinds:
+        sims = sims.cache()
+        assert sims.count() == sims.select("s1", "src", "id").distinct().count() < whole.count()
+        for score, k, reverse in (("name_sim", 4, False), ("addr_sim", 4, False), ("combo_sim", 4, False), ("name_sim", 2, True)):
+            want = {tuple(r) for r in blocking.top(whole, score, k, reverse).collect()}
+            assert {tuple(r) for r in blocking.top(sims, score, k, reverse).collect()} == want
+        assert set(blocking.candidates(sims, 4, 2, 5).collect()) == set(blocking.candidates(whole, 4, 2, 5).collect())
+
+
 def test_empty_pool(spark):
     rec = records(spark, [])
     assert blocking.candidates(blocking.similarities(blocking.weights(rec))).count() == 0
