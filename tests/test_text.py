@@ -1,3 +1,6 @@
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,21 @@ def test_token_scores():
 def test_empty_side_is_null(spark):
     d = spark.createDataFrame([("a", ""), (None, "a"), ("a", "a")], "a string, b string").select(S.column(S.ratio, 100)(F.col("a"), F.col("b")).alias("s"))
     assert [r.s for r in d.collect()] == [None, None, 1.0]
+
+
+def test_partial_ratios_of_many_pairs_equal_those_of_each():
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice("abc é") for _ in range(k))
+    sizes = (0, 1, 2, 3, 5, 8, 31, 63, 64, 65, 90)
+    many = [(word(rng.choice(sizes)), word(rng.choice((*sizes, 300)))) for _ in range(600)] + [(word(64), word(64)), ("a\0", "\0b"), ("ab", "ab"), ("ab", "ba")]
+    assert S.partial_ratios(many) == [S.partial_ratio(a, b) for a, b in many]
+    assert S.partial_ratios([]) == []
+
+
+def test_partial_ratio_column_scores_a_batch_at_once(spark, monkeypatch):
+    calls = []
+    run = S.column(S.partial_ratio, 100).func
+    monkeypatch.setattr(S, "_windows", lambda pairs, f=S._windows: calls.append(len(pairs)) or f(pairs))
+    got = run(pd.Series(["abcd", None, "abxd", "", "abcd"]), pd.Series(["xxabcdxx", "a", "xxabcdxx", "b", "xxabcdxx"]))
+    assert got.isna().tolist() == [False, True, False, True, False] and calls == [2]
+    assert got.dropna().tolist() == [S.partial_ratio(a, "xxabcdxx") / 100 for a in ("abcd", "abxd", "abcd")]
