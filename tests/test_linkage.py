@@ -213,3 +213,16 @@ def test_group_sample(spark, frac):
     truth = spark.createDataFrame([(0, 2, 100), (8700, 3, 200)], "s1 long, src int, id long")
     got = {(r.src, r.id) for r in sampling.sample_groups(rec, truth, frac).collect()}
     assert ((2, 100) in got) == ((1, 0) in got) and ((3, 200) in got) == ((1, 8700) in got)
+
+
+def test_word_differences_keep_pairs_whole(spark):
+    rec = records(spark, [(1, 1, "en", "red shop red", "", ""), (2, 1, "en", "", "", ""), (3, 2, "en", "red old shops", "", ""), (4, 3, "en", None, "", "")])
+    words = spark.createDataFrame([("en", "old", 0.5, 7), ("en", "shops", -0.5, 2), ("en", "red", 0.1, 9)], "cty string, t string, sib double, tdf long")
+    p = spark.createDataFrame([(1, 2, 3), (1, 3, 4), (2, 2, 3), (2, 3, 4)], "s1 long, src int, id long")
+    d = context.word_differences(p, rec, words)
+    got = {(r.s1, r.id): tuple(r)[3:] for r in d.collect()}
+    assert got == {(1, 3): (2, 0.5, 2, 1, None, None), (1, 4): (0, None, None, 2, 0.1, 9), (2, 3): (3, 0.5, 2, 0, None, None), (2, 4): (0, None, None, 0, None, None)}
+    # Words become rows for records, never for pairs, of which there are many more.
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert all("s1" not in line for line in plan.splitlines() if "Generate " in line)
+    assert plan.count("Generate ") == 2 and plan.count("Join ") == 4
