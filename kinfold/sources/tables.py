@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Goes up whenever a cached step's rules change.
 STEP_VERSION = 3
+#: Whether Spark removes the shuffle files of a statement at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words of a record's name and of its street.
 NAME_WORDS, STREET_WORDS = 4, 4
 
@@ -80,5 +82,11 @@ def step(spark: SparkSession, name: str, build: Callable[[], DataFrame], *inputs
     out = f"{scratch(spark)}/steps/{name}-{tag}"
     mark = jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
     if not mark.getFileSystem(conf).exists(mark):
-        build().write.mode("overwrite").option("compression", "zstd").parquet(out)
+        built, before = build(), spark.conf.get(CLEANUP, "false")
+        # What was shuffled for the step isn't read again; it would stay on disk until the driver happens to collect its garbage.
+        spark.conf.set(CLEANUP, "true")
+        try:
+            built.write.mode("overwrite").option("compression", "zstd").parquet(out)
+        finally:
+            spark.conf.set(CLEANUP, before)
     return spark.read.parquet(out)

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,15 @@ def test_word_differences_keep_pairs_whole(spark):
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert all("s1" not in line for line in plan.splitlines() if "Generate " in line)
     assert plan.count("Generate ") == 2 and plan.count("Join ") == 4
+
+
+def test_steps_leave_no_shuffle_files(spark, tmp_path):
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    spark.range(10).write.parquet(f"{tmp_path}/t.parquet")
+    before = files()
+    got = tables.step(spark, "counted", lambda: spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count(), f"{tmp_path}/t.parquet")
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and got.count() == 100
+    assert spark.conf.get(tables.CLEANUP) == "false"
