@@ -7,7 +7,8 @@ lists, not with the pairs.  Each pair is in one cell, and the best of all cells
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +57,13 @@ def _best(r: np.ndarray, k: int, least: int) -> np.ndarray:
 class _Postings:
     """Which records have a token, and its weight there."""
 
-    def __init__(self, codes: list[int], at: list[int], weights: list[float], n_codes: int, n: int) -> None:
+    def __init__(self, codes: array, at: array, weights: array, n_codes: int, n: int) -> None:
         c = np.array(codes, np.int32)
         order = np.argsort(c, kind="stable")
         self.at, self.w, self.n = np.array(at, np.int32)[order].astype(np.intp), np.array(weights)[order], n
         self.start = np.searchsorted(c[order], np.arange(n_codes + 1)).tolist()
 
-    def dots(self, vector: list[tuple[int, float]]) -> tuple[np.ndarray | None, np.ndarray | None]:
+    def dots(self, vector: Iterable[tuple[int, float]]) -> tuple[np.ndarray | None, np.ndarray | None]:
         """Dot products with all records, and the records met; both None if none is."""
         spans = [(a, b, w) for c, w in vector if (a := self.start[c]) < (b := self.start[c + 1])]
         if not spans:
@@ -78,6 +79,22 @@ def _vectors(t: pa.Table, idf: dict[str, dict[str, float]]) -> Iterator[tuple[tu
             yield (nt, nw) if nt is not None else weigh(names or [], idf.get(cty, {})), (at or [], aw or [])
 
 
+class _Queries:
+    """Vectors one after another in flat arrays: as lists of pairs they would take ten times the room."""
+
+    def __init__(self) -> None:
+        self.codes, self.w, self.ends = array("i"), array("d"), array("q", [0])
+
+    def add(self, codes: Iterable[int], weights: list[float]) -> None:
+        self.codes.extend(codes)
+        self.w.extend(weights)
+        self.ends.append(len(self.w))
+
+    def __getitem__(self, i: int) -> Iterator[tuple[int, float]]:
+        own = slice(self.ends[i], self.ends[i + 1])
+        return zip(self.codes[own], self.w[own], strict=True)
+
+
 def _joined(t: pa.Table, k: int, back_k: int, least: int, idf: dict[str, dict[str, float]]) -> Batches:
     """The rows of one cell.  Both sides come sorted by source and id."""
     mine = t.column("first").to_numpy(zero_copy_only=False)
@@ -86,8 +103,11 @@ def _joined(t: pa.Table, k: int, back_k: int, least: int, idf: dict[str, dict[st
     if not n_q or not n:
         return
     codes: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    asked = [[[(known.setdefault(x, len(known)), w) for x, w in zip(*v, strict=True)] for known, v in zip(codes, both, strict=True)] for both in _vectors(q, idf)]
-    flat: list[tuple[list[int], list[int], list[float]]] = [([], [], []), ([], [], [])]
+    asked = _Queries(), _Queries()
+    for both in _vectors(q, idf):
+        for known, to, (ts, ws) in zip(codes, asked, both, strict=True):
+            to.add((known.setdefault(x, len(known)) for x in ts), ws)
+    flat = [(array("i"), array("i"), array("d")) for _ in codes]
     for i, both in enumerate(_vectors(p, idf)):
         for known, (cs, at, ws), v in zip(codes, flat, both, strict=True):
             for x, w in zip(*v, strict=True):
@@ -118,8 +138,8 @@ def _joined(t: pa.Table, k: int, back_k: int, least: int, idf: dict[str, dict[st
     low = np.full(n, floor)
     none = np.zeros(n)
     for i in range(n_q):
-        x, _ = name.dots(asked[i][0])
-        y, met = addr.dots(asked[i][1])
+        x, _ = name.dots(asked[0][i])
+        y, met = addr.dots(asked[1][i])
         ok = passed(states[i])
         x = none if x is None else x if ok is None else x * ok
         y = none if y is None else y if ok is None else y * ok

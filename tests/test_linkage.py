@@ -1,11 +1,13 @@
 import math
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import similarity
-from kinfold.operators import blocking, context, decide, learned, pairs, reports, sampling, twins
+from kinfold.operators import blocking, cells, context, decide, learned, pairs, reports, sampling, twins
 from kinfold.sources import tables, tsv
 
 REC = "id long, src int, cty string, name string, addr string, st string"
@@ -239,3 +241,19 @@ def test_steps_leave_no_shuffle_files(spark, tmp_path):
         time.sleep(0.2)
     assert not left and got.count() == 100
     assert spark.conf.get(tables.CLEANUP) == "false"
+
+
+def test_cells_hold_vectors_in_flat_arrays():
+    n_q, n, each = 20, 16000, 40
+    tokens = [f"t{i}" for i in range(1000)]
+    vectors = [[tokens[(i * 7 + j * 13) % 1000] for j in range(each)] for i in range(n_q + n)]
+    schema = pa.schema([("first", pa.bool_()), ("cty", pa.string()), ("src", pa.int32()), ("id", pa.int64()), ("names", pa.list_(pa.string())), ("st", pa.string()), ("nt", pa.list_(pa.string())), ("nw", pa.list_(pa.float64())), ("at", pa.list_(pa.string())), ("aw", pa.list_(pa.float64()))])
+    rows = [(i < n_q, "en", 1 if i < n_q else 2, i, None, None, v, [1 / (1 + (i + j) % 97) for j in range(each)], None, None) for i, v in enumerate(vectors)]
+    t = pa.table({c.name: pa.array(v, c.type) for c, v in zip(schema, zip(*rows, strict=True), strict=True)}, schema=schema)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in cells._joined(t, 30, 5, 50_000, {})) > 0
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak / (n * each) < 40
