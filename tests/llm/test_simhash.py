@@ -110,6 +110,34 @@ def test_components_of_a_large_star_and_a_long_chain(spark):
     assert tuple(got) == (3_001, 1, 0)
 
 
+def test_few_edges_are_joined_up_by_one_task(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(350)] + [((i * 7919 + 3) % 1001 + 10_000, ((i + 1) * 7919 + 3) % 1001 + 10_000) for i in range(900)]
+    table = spark.createDataFrame([*edges, (None, 5), (6, None), *edges[:20]], "a long, b long").repartition(7)
+    want = groups_of({n for a, b in edges if a != b for n in (a, b)}, [e for e in edges if e[0] != e[1]])
+    monkeypatch.setattr(components, "FEW", 0, raising=False)
+    by_rounds = components.connected_components(table)
+    assert sorted(map(tuple, by_rounds.collect())) == sorted(want.items())
+    monkeypatch.undo()
+    monkeypatch.setattr(components, "_star", None)
+    at_once = components.connected_components(table)
+    assert sorted(map(tuple, at_once.collect())) == sorted(want.items()) and at_once.schema == by_rounds.schema
+
+
+def test_a_statement_of_the_rounds_has_the_joins_of_one_step(spark, monkeypatch):
+    joins, real = [], components.cut
+
+    def counted(df, *a):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return real(df, *a)
+
+    monkeypatch.setattr(components, "cut", counted)
+    monkeypatch.setattr(components, "FEW", 0, raising=False)
+    chain = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components.connected_components(chain).count() == 41
+    assert 0 < max(joins) <= 4, joins
+
+
 def test_hot_keys_are_joined_like_others(spark):
     rows = spark.range(5_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
     per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("m"))
